@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SPACE, NEWLINE = 32, 10
 #: Bytes of text that the vectorised operators look at in one go.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -21,7 +21,7 @@ WINDOW, SUB = 20, 8
 #: Text bytes for each bucket, super-k-mers of a minimiser from which it counts as common, most minimisers that are split.
 BUCKET_BYTES, COMMON, MOST_SPLIT = 6 << 20, 20_000, 100_000
 #: Text bytes that a task packs together.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 
 
 def _runs(words: Words, hashes: SubstringHash, window: int, sub: int):
@@ -127,67 +127,66 @@ def _found(rows: np.ndarray) -> pa.Table:
     return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2]), pa.array(rows[:, 3])], ["doc_id", "mark", "start", "stop"])
 
 
-def repeated_windows(doc: np.ndarray, mark: np.ndarray, offset: np.ndarray, blob: bytes, window: int) -> np.ndarray:
-    """Ranges (doc, mark, first window, past the last window) of windows whose words start earlier too, among super-k-mers."""
-    words = Words.packed(blob, len(doc))
-    hashes = SubstringHash(words.buffer)
-    n = len(words.start)
-    at = np.flatnonzero(words.of[: n - window + 1] == words.of[window - 1 :])
-    value = hashes.of(words.start[at], words.end[at + window - 1])
+def _windows(blobs: list[bytes], lines: list[int], window: int):
+    """Hash, line, number in its line, and byte span (in all blobs, joined) of each window, a blob at a time."""
+    parts, base, line = [], 0, 0
+    for blob, n in zip(blobs, lines, strict=True):
+        words = Words.packed(blob, n)
+        at = np.flatnonzero(words.of[: max(0, len(words.start) - window + 1)] == words.of[window - 1 :])
+        start, end = words.start[at], words.end[at + window - 1]
+        parts.append((SubstringHash(words.buffer).of(start, end), words.of[at] + line, at - words.first[words.of[at]], start + base, end + base))
+        base, line = base + len(blob) + 1, line + n
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def repeated_windows(doc: np.ndarray, mark: np.ndarray, offset: np.ndarray, blobs: list[bytes], lines: list[int], window: int) -> np.ndarray:
+    """Ranges (doc, mark, first window, past the last window) of windows whose words start earlier too, among super-k-mers.
+
+    A blob holds `lines` super-k-mers; doc, mark and offset (of the first word, in its document) go with them, in order.
+    """
+    value, line, inside, start, end = _windows(blobs, lines, window)
+    text = b"\n".join(blobs)
     by = np.argsort(value)
-    sorted_value = value[by]
-    same = sorted_value[1:] == sorted_value[:-1]
+    same = value[by[1:]] == value[by[:-1]]
     twice = np.zeros(len(by), bool)
     twice[1:] |= same
     twice[:-1] |= same
-    picked = by[twice]
-    at, value = at[picked], value[picked]
-    line = words.of[at]
-    rank = np.unique(np.rec.fromarrays([doc, mark]), return_inverse=True)[1].reshape(-1)[line] if len(at) else line
-    begin = offset[line] + at - words.first[line]
-    by = np.lexsort((begin, rank, value))
-    at, value, rank, begin, line = at[by], value[by], rank[by], begin[by], line[by]
+    at = by[twice]
+    rank = np.unique(np.rec.fromarrays([doc, mark]), return_inverse=True)[1].reshape(-1)
+    at = at[np.lexsort((offset[line[at]] + inside[at], rank[line[at]], value[at]))]
+    key = value[at]
     head = np.ones(len(at), bool)
-    head[1:] = value[1:] != value[:-1]
-    first = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0)) if len(at) else np.zeros(0, np.int64)
-    later = np.flatnonzero((rank != rank[first]) | (begin != begin[first]))
-    first = first[later]
-    later_at, first_at, line, begin = at[later], at[first], line[later], begin[later]
-    by = np.argsort(later_at)
-    later_at, first_at, line, begin = later_at[by], first_at[by], line[by], begin[by]
-    cut = np.ones(len(later_at), bool)
-    cut[1:] = (later_at[1:] != later_at[:-1] + 1) | (first_at[1:] != first_at[:-1] + 1) | (line[1:] != line[:-1])
+    head[1:] = key[1:] != key[:-1]
+    first = at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))] if len(at) else at
+    begin = lambda w: offset[line[w]] + inside[w]
+    later = (rank[line[at]] != rank[line[first]]) | (begin(at) != begin(first))
+    at, first = at[later], first[later]
+    by = np.argsort(at)
+    at, first = at[by], first[by]
+    cut = np.ones(len(at), bool)
+    cut[1:] = (at[1:] != at[:-1] + 1) | (first[1:] != first[:-1] + 1) | (line[at[1:]] != line[at[:-1]]) | (line[first[1:]] != line[first[:-1]])
     lows = np.flatnonzero(cut)
-    highs = np.append(lows[1:], len(later_at)) - 1 if len(lows) else lows
-    out = []
-    a0, a1 = words.start[later_at[lows]].tolist(), words.end[later_at[highs] + window - 1].tolist()
-    b0, b1 = words.start[first_at[lows]].tolist(), words.end[first_at[highs] + window - 1].tolist()
-    for i, (a, b, c, d) in enumerate(zip(a0, a1, b0, b1, strict=True)):
-        if blob[a:b] != blob[c:d]:  # different words with equal hashes
-            return _by_bytes(words, doc, mark, offset, window)
-        low = lows[i]
-        out.append((doc[line[low]], mark[line[low]], begin[low], begin[highs[i]] + 1))
-    return np.array(out, np.int64).reshape(-1, 4)
+    highs = np.append(lows[1:], len(at)) - 1 if len(lows) else lows
+    for a, b, c, d in zip(start[at[lows]].tolist(), end[at[highs]].tolist(), start[first[lows]].tolist(), end[first[highs]].tolist(), strict=True):
+        if text[a:b] != text[c:d]:  # different words with equal hashes
+            return _by_bytes(text, doc[line], mark[line], begin(np.arange(len(line))), start, end)
+    low = at[lows]
+    return np.stack([doc[line[low]], mark[line[low]].astype(np.int64), begin(low), begin(at[highs]) + 1], axis=1)
 
 
-def _by_bytes(words: Words, doc, mark, offset, window: int) -> np.ndarray:
-    """The same without hashes."""
+def _by_bytes(text: bytes, doc, mark, begin, start, end) -> np.ndarray:
+    """The same without hashes, for windows by their byte spans."""
     seen, out = {}, []
-    all_windows = []
-    for i in range(len(words.start) - window + 1):
-        if words.of[i] == words.of[i + window - 1]:
-            line = words.of[i]
-            all_windows.append((int(doc[line]), int(mark[line]), int(offset[line] + i - words.first[line]), i))
-    for d, m, begin, i in sorted(all_windows):
-        if seen.setdefault(words.blob[words.start[i] : words.end[i + window - 1]], (d, m, begin)) != (d, m, begin):
-            out.append((d, m, begin, begin + 1))
+    for d, m, at, a, b in sorted(zip(doc.tolist(), mark.tolist(), begin.tolist(), start.tolist(), end.tolist(), strict=True)):
+        if seen.setdefault(text[a:b], (d, m, at)) != (d, m, at):
+            out.append((d, m, at, at + 1))
     return np.array(out, np.int64).reshape(-1, 4)
 
 
 def _in_bucket(window: int):
     def find(rows: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        docs, marks, offsets, blobs, out = [], [], [], [], []
+        docs, marks, offsets, blobs, lines, out = [], [], [], [], [], []
         for n, meta, packed in zip(*(rows.column(c).to_pylist() for c in ("n", "meta", "packed")), strict=True):
             if packed is None:
                 out.append(np.frombuffer(meta, np.int64).reshape(-1, 4))
@@ -197,8 +196,9 @@ def _in_bucket(window: int):
                 marks.append(np.frombuffer(meta, np.int32, n, 8 * n))
                 offsets.append(np.frombuffer(meta, np.int64, n, 12 * n) if n % 2 == 0 else np.frombuffer(meta[12 * n :], np.int64, n))
                 blobs.append(unpack(packed))
+                lines.append(n)
         if blobs:
-            out.append(repeated_windows(np.concatenate(docs), np.concatenate(marks), np.concatenate(offsets), b"\n".join(blobs), window))
+            out.append(repeated_windows(np.concatenate(docs), np.concatenate(marks), np.concatenate(offsets), blobs, lines, window))
         return _found(np.concatenate(out) if out else np.zeros((0, 4), np.int64))
 
     return find
