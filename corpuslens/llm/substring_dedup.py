@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SubstringHash, Words, free_shuffles, ids_of, sliced, stored, table, texts_of
+from .common import SubstringHash, Words, ids_of, sliced, stored, table, texts_of
 
 WINDOW, SUB = 20, 8
 #: Text bytes for each bucket, super-k-mers of a minimiser from which it counts as common, most minimisers that are split.
@@ -232,7 +232,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, sub: int = SUB) -> Da
     after all others. Rows with one doc_id and different texts are different documents, in the order of a hash of the
     text; rows that repeat both are one document and get the same result. Other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.shiftright(F.xxhash64("text"), 32).cast("int").alias("mark"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
@@ -240,7 +239,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, sub: int = SUB) -> Da
     common = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "m").limit(MOST_SPLIT).toPandas()["m"].to_numpy(np.int64).view(np.uint64)
     packed = docs.mapInArrow(_pack(window, sub, buckets, np.sort(common)), PACKED)
     found = stored(packed.groupBy("bucket").applyInArrow(_in_bucket(window), FOUND))
-    free_shuffles(spark)
     spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     known = F.coalesce("doc_id", F.lit(2**63 - 1))
     joined = docs.join(spans, (known == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("doc_id", "text", "spans")
