@@ -23,6 +23,8 @@ K, QUERY_STEP = 20, 20
 CENTROIDS, SAMPLE_ROWS, ROUNDS = 128, 20_000, 10
 #: A query's cells hold this part of all vectors, and this many, at least.
 PART, LEAST = 0.35, 1000
+#: Queries that a task routes to their cells.
+ROUTE_ROWS = 256
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -98,30 +100,19 @@ def _route(books, size, enough: int):
 
 def rerank(qid, q, wanted, vid, v, cell, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each query in its cells, by inner products summed in a fixed order, so equal vectors score equally."""
-    order = np.lexsort((vid, cell))
-    vid, v, cell = vid[order], v[order], cell[order]
-    asked = {}
+    asked = np.zeros((len(q), int(cell.max(initial=0)) + 1), bool)
     for row, js in enumerate(wanted):
-        for j in js:
-            asked.setdefault(j, []).append(row)
-    none = np.zeros(0, np.int64)
-    held = (none, none, np.zeros(0))
-    for j in sorted(asked):
-        a, b = np.searchsorted(cell, j), np.searchsorted(cell, j, "right")
-        if a == b:
-            continue
-        for lot in np.array_split(np.array(asked[j]), -(-len(asked[j]) * (b - a) // 2_000_000)):
-            near = q[lot] @ v[a:b].T
-            near[vid[a:b] == qid[lot, None]] = -np.inf
-            least = np.partition(near, -k, axis=1)[:, [-k]] if b - a > k else -np.inf
-            i, c = np.nonzero((near >= least - 1e-9) & np.isfinite(near))
-            part = (lot[i], c + a)
-            held = tuple(np.concatenate(x) for x in zip(held, (part[0], part[1], (q[part[0]] * v[part[1]]).sum(axis=1)), strict=True))
-        if len(held[0]) > 500_000:
-            keep = best(held[0], vid[held[1]], held[2], k)
-            held = tuple(x[keep] for x in held)
-    keep = best(held[0], vid[held[1]], held[2], k)
-    return held[0][keep], vid[held[1][keep]], held[2][keep]
+        js = np.array(js)
+        asked[row, js[js < asked.shape[1]]] = True
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for lot in np.array_split(np.arange(len(q)), -(-len(q) * len(v) // 1_000_000)):
+        near = np.where(asked[np.ix_(lot, cell)] & (vid != qid[lot, None]), q[lot] @ v.T, -np.inf)
+        least = np.partition(near, -k, axis=1)[:, [-k]] if len(v) > k else -np.inf
+        i, c = np.nonzero((near >= least - 1e-9) & np.isfinite(near))
+        row, score = lot[i], (q[lot[i]] * v[c]).sum(axis=1)
+        keep = best(row, vid[c], score, k)
+        found.append((row[keep], vid[c[keep]], score[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _rerank(k: int):
@@ -157,7 +148,7 @@ def nearest_neighbours(embeddings: DataFrame, k: int = K, query_step: int = QUER
     lists = {i: sum(c for (a, _), c in size.items() if a == i) for i, _ in size}
     parts = F.create_map(*(F.lit(x) for i, c in sorted(lists.items()) for x in (i, -(-c // BLOCK))))
     enough = max(LEAST, k + 1, round(part * n))
-    routed = coded.where(F.col("vec_id") % query_step == 0).select("vec_id", "v").repartition("vec_id").mapInArrow(_route(books, spark.sparkContext.broadcast(size), enough), "vec_id long, v binary, a int, bs array<int>")
+    routed = coded.where(F.col("vec_id") % query_step == 0).select("vec_id", "v").repartition(-(-n // (ROUTE_ROWS * query_step)), "vec_id").mapInArrow(_route(books, spark.sparkContext.broadcast(size), enough), "vec_id long, v binary, a int, bs array<int>")
     blocks = max(1, -(-n // (BLOCK * query_step)))
     own = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
