@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, simhash, substring_dedup
+from . import ann, exact_search, language_id, line_dedup, mixing, packing, quality, simhash, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,8 +10,13 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_mixing": mixing.op4_mixing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_quality": quality.op6_quality,
+    "op7_language_id": language_id.op7_language_id,
+    "op8_exact_search": exact_search.op8_exact_search,
+    "op9_ann": ann.op9_ann,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL.format(docs="documents"),
+    "op8_exact_search": exact_search.SQL,
 }
