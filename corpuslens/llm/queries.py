@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_search, language_id, line_dedup, mixing, packing, quality, simhash, substring_dedup
+from . import ann, exact_search, language_id, license_scan, line_dedup, mixing, packing, quality, simhash, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_exact_search": exact_search.op8_exact_search,
     "op9_ann": ann.op9_ann,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 ORACLES = {
