@@ -2,13 +2,73 @@
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from corpuslens.llm.common import stored
+from corpuslens.llm.language_id import identify, learn
+from corpuslens.llm.line_dedup import line_dedup
+from corpuslens.llm.mixing import mix
+from corpuslens.llm.packing import pack
+from corpuslens.llm.simhash import near_duplicates
+
+#: Near duplicates here: SimHash of five-word shingles, at most so many differing bits.
+SHINGLE, BUDGET = 5, 6
+
+
+def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns, with n_chars as the text has it now."""
+    size = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None
+    return docs.select(*(size.alias(c) if c == "n_chars" else c for c in columns))
+
+
+def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language ID does not reject, as they are.
+
+    It rejects null texts, texts without a letter, and texts far from every language in `lang`. With no labelled row there
+    is nothing to be far from, so only the first two go.
+    """
+    model = learn(docs)
+    found = identify(docs, model)
+    keep = ~F.col("_cl_rejected") if model.langs else F.col("text").rlike(r"\p{L}")
+    return found.where(keep).select(*docs.columns)
+
+
+def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without chunks of lines that stand elsewhere before; one that loses all of them stays, with empty text."""
+    return _measured(line_dedup(docs), docs.columns)
+
+
+def near_duplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest doc_id; of rows with one doc_id, that of the least text hash.
+
+    Documents without a doc_id can't be named, so they stay, and none goes for their sake.
+    """
+    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), BUDGET, SHINGLE)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_cl_stays")).distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    named = docs.join(stay, F.col("doc_id") == F.col("_cl_stays")).withColumn("_cl_row", first).where("_cl_row = 1")
+    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in the order in which they are due; where a source's target ends, a text is cut."""
+    return _measured(mix(docs), docs.columns)
+
+
+def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and the sequences that they are packed into."""
+    return pack(docs)
+
+
+STAGES = [("language ID", language), ("line dedup", lines), ("SimHash near-dedup", near_duplicate), ("mixing to target weights", mixing), ("packing", packing)]
+#: Learned language models, hashes of tokens and fingerprints have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    """The rows that the last stage returns for the documents table."""
+def run(spark, sf_dir: str) -> DataFrame:
+    """The rows that the last stage returns for the documents table; each stage but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

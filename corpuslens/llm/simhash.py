@@ -2,7 +2,7 @@
 
 Fingerprints are 64-bit majority votes over shingle hashes. Each different fingerprint is one row from there on. For a
 budget of k differing bits the 64 bits are cut into k + 2 blocks; two fingerprints in the budget agree in two blocks at
-least, so rows meet in buckets of equal block pairs. In a bucket, the sorted fingerprints are a binary trie (a node is a
+least, so rows meet in buckets of equal block pairs (or of more blocks, see AGREE). In a bucket, the sorted fingerprints are a binary trie (a node is a
 range of them): node pairs are traversed together, the bits in which their prefixes differ are added up, and a pair is
 dropped when they exceed the budget, or when all its leaves are in one component already. So a bucket returns a spanning
 forest of its links, never all pairs. A bucket over the bound is dealt as pairs of parts.
@@ -22,6 +22,8 @@ from .common import Words, ids_of, sliced, stored, table, texts_of
 from .components import components
 
 BUDGET, SHINGLE, SEED = 4, 4, 42
+#: Blocks in which linked fingerprints must agree to meet; more of them make smaller buckets, and more rows.
+AGREE = 2
 #: Most rows of a bucket in one task; larger buckets are dealt as pairs of parts.
 BUCKET_ROWS = 50_000
 #: Rows that a task joins at once, node pairs in one step, and the largest product of node sizes that is compared directly.
@@ -154,13 +156,13 @@ def _join(budget: int):
     return join
 
 
-def links(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
+def links(classes: DataFrame, budget: int = BUDGET, agree: int = AGREE) -> DataFrame:
     """Edges a, b between rep values of classes(fp, rep) that join up just what fingerprints with at most `budget` differing bits do."""
-    blocks = budget + 2
+    blocks = budget + agree
     edges = [64 * i // blocks for i in range(blocks + 1)]
     mask = [sum(1 << bit for bit in range(edges[i], edges[i + 1])) for i in range(blocks)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    pairs = F.array(*(F.struct(F.lit(i).alias("blocks"), F.col("fp").bitwiseAND(F.lit(signed(mask[x] | mask[y]))).alias("key")) for i, (x, y) in enumerate(combinations(range(blocks), 2))))
+    pairs = F.array(*(F.struct(F.lit(i).alias("blocks"), F.col("fp").bitwiseAND(F.lit(signed(sum(mask[x] for x in own)))).alias("key")) for i, own in enumerate(combinations(range(blocks), agree))))
     keyed = classes.select("fp", "rep", F.explode(pairs).alias("k")).select("fp", "rep", "k.blocks", "k.key")
     large = stored(keyed.groupBy("blocks", "key").count().where(F.col("count") > BUCKET_ROWS).withColumn("parts", F.ceil(F.col("count") / BUCKET_ROWS).cast("int")).drop("count"))
     if large.isEmpty():
