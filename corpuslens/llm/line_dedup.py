@@ -92,7 +92,7 @@ def line_dedup(docs: DataFrame, columns: list[str] | None = None, roll: int = RO
     doc, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64("text")
     keyed = docs.select(doc.alias("doc"), mark.alias("mark"), "text")
     found = stored(keyed.mapInArrow(_hashes(roll, divisor, min_lines), "doc long, mark long, at int, h long"))
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    twice = stored(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))  # so that Spark can split a common h in the join
     wanted = found.join(twice, "h", "left_semi")
     by_doc = wanted.groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).agg(F.collect_set("at").alias("wanted"))
     texts = keyed.join(by_doc, (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark"))).select("doc", "mark", "text", "wanted")
