@@ -15,7 +15,7 @@ from .common import table
 #: Start and end weight of the sources in code-point order, repeating; the means are 5, 2 and 1.
 SCHEDULES = ((6.5, 3.5), (2.0, 2.0), (0.5, 1.5))
 #: Times that a source may be used, and rows that share a running sum, at most on average.
-MOST_PASSES, BUCKET_ROWS = 3, 20_000
+MOST_PASSES, BUCKET_ROWS = 3, 2_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
