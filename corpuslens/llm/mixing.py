@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: Start and end weight of the sources in code-point order, repeating; the means are 5, 2 and 1.
 SCHEDULES = ((6.5, 3.5), (2.0, 2.0), (0.5, 1.5))
@@ -56,7 +56,7 @@ def mixing_plan(docs: DataFrame, columns: list[str] | None = None, schedules=SCH
     place = F.shiftright("_cl_hash", 32) + F.lit(1 << 31)
     sized = docs.select(*columns, source.isNull().alias("_cl_null"), F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("_cl_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_cl_size"), F.xxhash64("doc_id").alias("_cl_hash"), F.xxhash64("text").alias("_cl_mark"))
     sized = sized.withColumn("_cl_bucket", F.shiftright(place * buckets, 32))
-    parts = sized.groupBy("_cl_source", "_cl_null", "_cl_bucket").agg(F.sum("_cl_size").alias("_cl_part"))
+    parts = stored(sized.groupBy("_cl_source", "_cl_null", "_cl_bucket").agg(F.sum("_cl_size").alias("_cl_part")))  # used twice
     targets = _targets(parts.groupBy("_cl_source", "_cl_null").agg(F.sum("_cl_part").alias("_cl_source_size")), schedules, passes)
     earlier = Window.partitionBy("_cl_source").orderBy("_cl_bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_cl_base", F.coalesce(F.sum("_cl_part").over(earlier), F.lit(0))).drop("_cl_null", "_cl_part").join(targets, "_cl_source")
