@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import stored
+from corpuslens.llm.common import release, stored
 from corpuslens.llm.language_id import identify, learn
 from corpuslens.llm.line_dedup import line_dedup
 from corpuslens.llm.mixing import mix
@@ -70,5 +70,6 @@ def run(spark, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns for the documents table; each stage but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, before = stored(stage(spark, docs, sf_dir)), docs
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 SPACE, NEWLINE = 32, 10
 #: Bytes of text that the vectorised operators look at in one go.
@@ -52,7 +53,22 @@ def stored(df: DataFrame) -> DataFrame:
     finally:
         if before is not None:
             spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table behind what stored() returned, once nothing reads it any more."""
+    if path := getattr(df, "_stored_at", None):
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def carried(docs: DataFrame, columns: list[str], more: str) -> T.StructType:
+    """The schema of the given columns of docs and of more ones."""
+    return T.StructType([docs.schema[c] for c in columns] + T.StructType.fromDDL(more).fields)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

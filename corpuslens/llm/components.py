@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "v").where("n > v").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = stored(small.distinct())
+        edges, old = stored(small.distinct()), edges
+        release(old)
         state, before = _state(edges), state
         if state == before:
             break

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import carried, sliced, table
 
 #: Hashed n-gram features, lengths of the n-grams, centroids for each language.
 FEATURES, LENGTHS, CENTROIDS = 4096, (2, 3), 4
@@ -133,9 +133,8 @@ def identify(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     Rows are judged one by one, so repeated rows agree.
     """
     columns = columns or docs.columns
-    schema = ", ".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each language
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(_predict(shared, columns), f"{schema}, _cl_lang string, _cl_score double, _cl_rejected boolean")
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(_predict(shared, columns), carried(docs, columns, "_cl_lang string, _cl_score double, _cl_rejected boolean"))
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

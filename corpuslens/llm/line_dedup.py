@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stored, table
+from .common import carried, sliced, stored, table
 
 #: Lines in the rolling hash, one boundary in so many lines, and the least lines of a chunk that may go.
 ROLL, DIVISOR, MIN_LINES = 2, 3, 2
@@ -101,8 +101,7 @@ def line_dedup(docs: DataFrame, columns: list[str] | None = None, roll: int = RO
     gone = stored(wanted.join(first, ["doc", "mark", "at"], "left_anti").groupBy(F.col("doc").alias("_cl_doc"), F.col("mark").alias("_cl_mark")).agg(F.collect_set("at").alias("_cl_gone")))
     needed = docs.select(*dict.fromkeys(["text", *columns]), doc.alias("_cl_key"), mark.alias("_cl_hash"))
     joined = needed.join(gone, (F.col("_cl_key") == F.col("_cl_doc")) & (F.col("_cl_hash") == F.col("_cl_mark")), "left").select(*dict.fromkeys(["text", *columns]), "_cl_gone")
-    schema = ", ".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return joined.mapInArrow(_without(roll, divisor, columns), f"{schema}, _cl_n_lines long, _cl_n_removed long")
+    return joined.mapInArrow(_without(roll, divisor, columns), carried(docs, columns, "_cl_n_lines long, _cl_n_removed long"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
