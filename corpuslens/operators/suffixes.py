@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ordered import numbered, run_numbers
 from ..functions.text import lcp
@@ -74,31 +74,39 @@ def with_neighbours(suffixes: DataFrame) -> DataFrame:
     ilcp_b and ilcp_f are the common prefix with the document's previous and next suffix; 0 at the ends.
     """
     own = Window.partitionBy("doc_id").orderBy("rk")
-    near = suffixes.withColumns({"isa": F.row_number().over(own).cast("long") - 1, "prev_rk": F.lag("rk").over(own), "next_rk": F.lead("rk").over(own), "_p": F.lag("key").over(own), "_n": F.lead("key").over(own)})
-    return near.withColumns({"ilcp_b": lcp("_p", "key"), "ilcp_f": lcp("key", "_n")}).drop("_p", "_n")
+    near = suffixes.withColumns({"isa": F.row_number().over(own).cast("long") - 1, "prev_rk": F.lag("rk").over(own), "next_rk": F.lead("rk").over(own), "_p": F.lag("key").over(own)})
+    return near.withColumn("ilcp_b", lcp("_p", "key")).withColumn("ilcp_f", F.coalesce(F.lead("ilcp_b").over(own), F.lit(0))).drop("_p")
 
 
-def merged_runs(rows: DataFrame, value: str, name: str, size: int = 1 << 16) -> DataFrame:
-    """rows(rk, doc_id, value) with `name`, the least value of the merged run that a row is in.
+def run_minima(values: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The least value of the merged run that each row is in.
 
-    Greedy in rk order: from a run's first row, either the longest stretch of one value, or, if that is a single row, the
-    longest stretch of one document. Order-dependent, so each block of rows is walked once; runs end at block edges, which
-    changes no answer, as a run only needs a bound on its values.
+    Greedy from the first row: a run is either the longest stretch of one value, or, if that is a single row, the longest
+    stretch of one document.
     """
+    n = len(values)
+    ends = lambda x: np.append(np.flatnonzero(x[1:] != x[:-1]) + 1, n)[np.cumsum(np.append(False, x[1:] != x[:-1]))]
+    by_value, by_doc, begins, i = ends(values).tolist(), ends(docs).tolist(), [], 0
+    while i < n:
+        begins.append(i)
+        i = by_value[i] if by_value[i] > i + 1 else by_doc[i]
+    begins = np.array(begins)
+    return np.repeat(np.minimum.reduceat(values, begins), np.diff(np.append(begins, n)))
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rk")
-        values, docs, least, i = part[value].to_numpy(), part["doc_id"].to_numpy(), np.empty(len(part), np.int32), 0
-        while i < len(part):
-            j = i + 1
-            while j < len(part) and values[j] == values[i]:
-                j += 1
-            if j == i + 1:
-                while j < len(part) and docs[j] == docs[i]:
-                    j += 1
-            least[i:j] = values[i:j].min()
-            i = j
-        return pd.DataFrame({"rk": part["rk"], name: least})
-
-    cut = rows.select("rk", "doc_id", value, F.floor(F.col("rk") / size).alias("_b"))
-    return cut.groupBy("_b").applyInPandas(walk, f"rk long, {name} int")
+
+def with_merged_runs(rows: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """rows with min_b and min_f: the least ilcp_b and ilcp_f of the merged run that a row is in.
+
+    The merging depends on the order, so each block of rows is walked once; runs end at block edges, which changes no
+    answer, as a run only needs a bound on its values.
+    """
+
+    def walk(part: pa.Table) -> pa.Table:
+        part = part.sort_by("rk")
+        docs = part.column("doc_id").to_numpy()
+        for value, name in (("ilcp_b", "min_b"), ("ilcp_f", "min_f")):
+            part = part.append_column(name, pa.array(run_minima(part.column(value).to_numpy(), docs)))
+        return part.drop_columns("_b")
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("min_b", T.IntegerType()), T.StructField("min_f", T.IntegerType())])
+    return rows.withColumn("_b", F.floor(F.col("rk") / size)).repartitionByRange("_b").groupBy("_b").applyInArrow(walk, schema)

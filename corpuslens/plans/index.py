@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 from ..operators.blocks import BLOCK_SIZE, block_table
-from ..operators.suffixes import KEY_LENGTH, merged_runs, suffix_array, with_neighbours
+from ..operators.suffixes import KEY_LENGTH, suffix_array, with_merged_runs, with_neighbours
 from ..sources.artifacts import load, save
 from ..storage import stored
 
@@ -38,9 +38,7 @@ class DocIndex:
 
 def build(docs: DataFrame, key_length: int = KEY_LENGTH, block_size: int = BLOCK_SIZE) -> DocIndex:
     """The index of docs(doc_id, text): unique doc_ids; empty documents keep theirs and never match."""
-    near = stored(with_neighbours(suffix_array(docs, key_length)))
-    least = merged_runs(near, "ilcp_b", "min_b").join(merged_runs(near, "ilcp_f", "min_f"), "rk")
-    rows = near.join(least, "rk").withColumn("block", F.floor(F.col("rk") / block_size))
-    # sorted by key, so that the key range of a pattern skips row groups
-    rows = stored(rows.select("rk", "doc_id", "pos", "key", "isa", "prev_rk", "next_rk", "ilcp_b", "ilcp_f", "min_b", "min_f", "block").repartitionByRange("rk").sortWithinPartitions("rk"))
+    # in the order of rk, which is that of the keys, so that a pattern's key range skips row groups
+    rows = with_merged_runs(with_neighbours(suffix_array(docs, key_length))).withColumn("block", F.floor(F.col("rk") / block_size))
+    rows = stored(rows.select("rk", "doc_id", "pos", "key", "isa", "prev_rk", "next_rk", "ilcp_b", "ilcp_f", "min_b", "min_f", "block"))
     return DocIndex(docs.select("doc_id", "text"), rows, stored(block_table(rows, block_size)), key_length, block_size)
