@@ -46,16 +46,20 @@ class Network:
             y[: len(x) - j] += x[j:] @ self.p["filters"][j]
         return y
 
-    def chunk_logits(self, buffer: np.ndarray) -> np.ndarray:
-        """Of each half with the next one; the last half's has no meaning."""
-        best = self.responses(buffer).reshape(-1, HALF // STRIDE, FILTERS).max(axis=1)
+    def chunk_logits(self, buffer: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of each half with the next one; those of the halves before `ends`, the last of each text, have no meaning."""
+        y = self.responses(buffer)
+        for j in range(1, STEPS):  # filters that reach into the next text; a text ends with zeros, whose responses are 0
+            y[ends * (HALF // STRIDE) - j] = 0
+        best = y.reshape(-1, HALF // STRIDE, FILTERS).max(axis=1)
         best[:-1] = np.maximum(best[:-1], best[1:])
         return np.maximum(best + self.p["bias"], 0) @ self.p["out"] + self.p["out_bias"][0]
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         """Mean, least and largest chunk logit of each whole text."""
         buffer, halves = padded(texts)
-        logits, ends = self.chunk_logits(buffer).astype(np.float64), np.cumsum(halves)
+        ends = np.cumsum(halves)
+        logits = self.chunk_logits(buffer, ends).astype(np.float64)
         used = np.ones(len(logits), bool)
         used[ends - 1] = False
         logits, begins = logits[used], ends - halves - np.arange(len(texts))
