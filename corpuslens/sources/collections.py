@@ -44,7 +44,7 @@ def patterns_of(spark: SparkSession, patterns: list[str]) -> DataFrame:
 
 def read_fasta(spark: SparkSession, folder: str, most_sequences: int | None = None) -> DataFrame:
     """doc_id and text of each *.fasta file below the folder, in path order: headers and line ends go, a break stands between sequences."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.fasta").text(folder).select(F.col("_metadata.file_path").alias("_path"), "value")
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.fasta").select(F.col("_metadata.file_path").alias("_path"), "value")
     parts = F.filter(F.split(F.concat(F.lit("\n"), "value"), r"\r?\n>[^\n]*"), lambda s: F.length(F.regexp_replace(s, r"\s", "")) > 0)
     parts = parts if most_sequences is None else F.slice(parts, 1, most_sequences)
     text = F.array_join(F.transform(parts, lambda s: F.regexp_replace(s, r"[\r\n]", "")), SEQUENCE_BREAK)
