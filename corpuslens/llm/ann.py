@@ -20,9 +20,9 @@ from .vectors import BLOCK, best, matrix, ranked, usable
 
 K, QUERY_STEP = 20, 20
 #: Centroids for each half; about so many vectors fit the codebooks (the only sample here).
-CENTROIDS, SAMPLE_ROWS, ROUNDS = 128, 20_000, 10
+CENTROIDS, SAMPLE_ROWS, ROUNDS = 64, 20_000, 10
 #: A query's cells hold this part of all vectors, and this many, at least.
-PART, LEAST = 0.4, 1000
+PART, LEAST = 0.45, 1000
 #: Queries that a task routes to their cells.
 ROUTE_ROWS = 256
 FOUND = "query_id long, vec_id long, score double"
