@@ -9,6 +9,8 @@ own hash, so no bucket grows with one passage.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -19,9 +21,9 @@ from .common import SubstringHash, Words, ids_of, sliced, stored, table, texts_o
 
 WINDOW, SUB = 20, 8
 #: Text bytes for each bucket, super-k-mers of a minimiser from which it counts as common, most minimisers that are split.
-BUCKET_BYTES, COMMON, MOST_SPLIT = 6 << 20, 20_000, 100_000
+BUCKET_BYTES, COMMON, MOST_SPLIT = 4 << 20, 20_000, 100_000
 #: Text bytes that a task packs together.
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 6 << 20
 
 
 def _runs(words: Words, hashes: SubstringHash, window: int, sub: int):
@@ -61,17 +63,17 @@ PACKED = "bucket int, n long, meta binary, packed binary"
 def _pack(window: int, sub: int, buckets: int, common: np.ndarray):
     """Rows of super-k-mers by bucket; rows without `packed` hold what the task itself found to be repeated."""
 
-    def flush(seen: dict, order: int):
+    def flush(seen: dict, first: list[array]):
         z = zstandard.ZstdCompressor(level=1)
         keys = list(seen)
-        first = np.array(list(seen.values()), np.int64).reshape(-1, 5)  # doc, hash, first window, past the last one, bucket
+        doc, mark, begin, _, bucket = (np.frombuffer(x, np.int64) for x in first)
         rows = {"bucket": [], "n": [], "meta": [], "packed": []}
-        by = np.argsort(first[:, 4], kind="stable")
-        cuts = np.flatnonzero(np.diff(first[by, 4], prepend=-1))
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
         for part in np.split(by, cuts[1:]) if len(by) else []:
-            rows["bucket"].append(int(first[part[0], 4]))
+            rows["bucket"].append(int(bucket[part[0]]))
             rows["n"].append(len(part))
-            rows["meta"].append(z.compress(first[part, 0].tobytes() + first[part, 1].astype(np.int32).tobytes() + first[part, 2].tobytes()))
+            rows["meta"].append(z.compress(doc[part].tobytes() + mark[part].astype(np.int32).tobytes() + begin[part].tobytes()))
             rows["packed"].append(z.compress(b"\n".join([keys[i] for i in part])))
         return rows
 
@@ -83,7 +85,8 @@ def _pack(window: int, sub: int, buckets: int, common: np.ndarray):
         return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["n"], pa.int64()), pa.array(rows["meta"], pa.binary()), pa.array(rows["packed"], pa.binary())], ["bucket", "n", "meta", "packed"])
 
     def pack(batches):
-        seen, found, held, order = {}, [], 0, 0
+        fresh = lambda: ({}, [array("q") for _ in range(5)], [], 0)  # noqa: E731  the arrays: doc, mark, first window, past the last one, bucket
+        (seen, first, found, held), order = fresh(), 0
         for batch in sliced(batches):
             words = Words(texts_of(batch.column("text")))
             hashes = SubstringHash(words.buffer)
@@ -104,17 +107,23 @@ def _pack(window: int, sub: int, buckets: int, common: np.ndarray):
             blob = words.blob
             for a, b, doc, mark, begin, n, bucket in zip(words.start[low].tolist(), words.end[high + window - 1].tolist(), ids[text].tolist(), marks[text].tolist(), offset.tolist(), (high - low + 1).tolist(), (route % np.uint64(buckets)).tolist(), strict=True):
                 key, new = blob[a:b], (doc, mark, begin, begin + n, bucket)
-                old = seen.setdefault(key, new)
-                if old is not new and old[:3] != new[:3]:
+                i = seen.setdefault(key, len(seen))
+                if i == len(first[0]):
+                    for x, y in zip(first, new, strict=True):
+                        x.append(y)
+                elif (first[0][i], first[1][i], first[2][i]) != new[:3]:
+                    old = tuple(x[i] for x in first)
                     if new < old:
-                        seen[key], new = new, old
+                        for x, y in zip(first, new, strict=True):
+                            x[i] = y
+                        new = old
                     found.append(new[:4])
             held += len(blob)
             if held >= FLUSH_BYTES:
-                yield as_batch(flush(seen, order))
+                yield as_batch(flush(seen, first))
                 yield as_batch(settled(found, order))
-                seen, found, held, order = {}, [], 0, order + 1
-        yield as_batch(flush(seen, order))
+                (seen, first, found, held), order = fresh(), order + 1
+        yield as_batch(flush(seen, first))
         yield as_batch(settled(found, order))
 
     return pack
