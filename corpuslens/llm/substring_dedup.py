@@ -14,7 +14,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SubstringHash, Words, ids_of, sliced, stored, table, texts_of
@@ -213,24 +213,16 @@ def _in_bucket(window: int):
     return find
 
 
-def _keep(window: int):
-    def keep(batches):
-        for batch in sliced(batches):
-            n_words, n_removed, kept = [], [], []
-            for text, spans in zip(texts_of(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-                words = text.split()
-                n_words.append(len(words))
-                if spans:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, [s["start"] for s in spans], 1)
-                    np.add.at(edge, [s["stop"] + window - 1 for s in spans], -1)
-                    stays = np.cumsum(edge[:-1]) == 0
-                    words = [words[i] for i in np.flatnonzero(stays).tolist()]
-                n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
-
-    return keep
+SPACE = "[\\x20\\x09-\\x0D]+"
+
+
+def _islands(found: DataFrame, window: int) -> DataFrame:
+    """_id, _mark and gone: each document's removed words as sorted ranges (low, high) that don't touch, high not included."""
+    own = Window.partitionBy("doc_id", "mark").orderBy("start", "stop")
+    ranges = found.withColumn("high", F.col("stop") + (window - 1))
+    begins = ranges.withColumn("begins", F.coalesce(F.col("start") > F.max("high").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    islands = begins.withColumn("island", F.sum("begins").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "mark", "island").agg(F.min("start").alias("low"), F.max("high").alias("high"))
+    return islands.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("gone"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, sub: int = SUB) -> DataFrame:
@@ -248,10 +240,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, sub: int = SUB) -> Da
     common = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "m").limit(MOST_SPLIT).toPandas()["m"].to_numpy(np.int64).view(np.uint64)
     packed = docs.mapInArrow(_pack(window, sub, buckets, np.sort(common)), PACKED)
     found = stored(packed.groupBy("bucket").applyInArrow(_in_bucket(window), FOUND))
-    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     known = F.coalesce("doc_id", F.lit(2**63 - 1))
-    joined = docs.join(spans, (known == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_keep(window), "doc_id long, n_words long, n_removed long, text string")
+    gone = _islands(found, window)
+    joined = docs.join(gone, (known == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("doc_id", "text", "gone")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: w != "")
+    worded = joined.select("doc_id", "gone", words.alias("words"))
+    # what lies between the ranges stays
+    low, high = F.concat(F.array(F.lit(0).cast("long")), F.col("gone.high")), F.concat(F.col("gone.low"), F.array(F.size("words").cast("long")))
+    kept = F.flatten(F.zip_with(low, high, lambda a, b: F.slice(F.col("words"), (a + 1).cast("int"), (b - a).cast("int"))))
+    n_removed = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda n, r: n + r["high"] - r["low"]), F.lit(0).cast("long"))
+    return worded.select("doc_id", F.size("words").cast("long").alias("n_words"), n_removed.alias("n_removed"), F.array_join(F.when(F.col("gone").isNull(), F.col("words")).otherwise(kept), " ").alias("text"))
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
