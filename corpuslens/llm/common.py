@@ -141,7 +141,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
     if len(_powers.get(name, ())) < n:
-        row = np.full(max(n, SLICE_BYTES + 4096), base, np.uint64)
+        row = np.full(max(n, SLICE_BYTES // 2 + 4096), base, np.uint64)
         row[0] = 1
         _powers[name] = np.cumprod(row)
     return _powers[name]

@@ -22,8 +22,8 @@ from .common import SubstringHash, Words, ids_of, sliced, stored, table, texts_o
 WINDOW, SUB = 20, 8
 #: Text bytes for each bucket, super-k-mers of a minimiser from which it counts as common, most minimisers that are split.
 BUCKET_BYTES, COMMON, MOST_SPLIT = 4 << 20, 20_000, 100_000
-#: Text bytes that a task packs together.
-FLUSH_BYTES = 6 << 20
+#: Text bytes that a task packs together, and hashes at once.
+FLUSH_BYTES, SLICE_BYTES = 6 << 20, 1 << 20
 
 
 def _runs(words: Words, hashes: SubstringHash, window: int, sub: int):
@@ -48,7 +48,7 @@ def _runs(words: Words, hashes: SubstringHash, window: int, sub: int):
 
 def _count_minimisers(window: int, sub: int):
     def count(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=SLICE_BYTES):
             words = Words(texts_of(batch.column("text")))
             _, least, begins = _runs(words, SubstringHash(words.buffer), window, sub)
             value, n = np.unique(least[begins], return_counts=True)
@@ -87,7 +87,7 @@ def _pack(window: int, sub: int, buckets: int, common: np.ndarray):
     def pack(batches):
         fresh = lambda: ({}, [array("q") for _ in range(5)], [], 0)  # noqa: E731  the arrays: doc, mark, first window, past the last one, bucket
         (seen, first, found, held), order = fresh(), 0
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=SLICE_BYTES):
             words = Words(texts_of(batch.column("text")))
             hashes = SubstringHash(words.buffer)
             at, least, begins = _runs(words, hashes, window, sub)
