@@ -10,10 +10,7 @@ from corpuslens.llm.language_id import identify, learn
 from corpuslens.llm.line_dedup import line_dedup
 from corpuslens.llm.mixing import mix
 from corpuslens.llm.packing import pack
-from corpuslens.llm.simhash import near_duplicates
-
-#: Near duplicates here: SimHash of five-word shingles, at most so many differing bits.
-SHINGLE, BUDGET = 5, 6
+from corpuslens.llm.simhash import near_copies
 
 
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -40,11 +37,11 @@ def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id; of rows with one doc_id, that of the least text hash.
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more): that of the smallest doc_id; of rows with one doc_id, that of the least text hash.
 
     Documents without a doc_id can't be named, so they stay, and none goes for their sake.
     """
-    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), BUDGET, SHINGLE)
+    found = near_copies(docs.where(F.col("doc_id").isNotNull()))
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_cl_stays")).distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     named = docs.join(stay, F.col("doc_id") == F.col("_cl_stays")).withColumn("_cl_row", first).where("_cl_row = 1")

@@ -6,6 +6,10 @@ least, so rows meet in buckets of equal block pairs (or of more blocks, see AGRE
 range of them): node pairs are traversed together, the bits in which their prefixes differ are added up, and a pair is
 dropped when they exceed the budget, or when all its leaves are in one component already. So a bucket returns a spanning
 forest of its links, never all pairs. A bucket over the bound is dealt as pairs of parts.
+
+64 bits do not tell a similarity of 0.8 from one of 0.7, and no small budget finds both ends of it. near_copies() therefore
+votes on 256 bits from the same shingles and lets rows meet in bands of sampled bits; there the same trie over the first 64
+bits proposes pairs, and all 256 bits decide.
 """
 
 from __future__ import annotations
@@ -28,10 +32,15 @@ AGREE = 2
 BUCKET_ROWS = 50_000
 #: Rows that a task joins at once, node pairs in one step, and the largest product of node sizes that is compared directly.
 JOIN_ROWS, STEP, DIRECT = 100_000, 20_000, 64
+#: near_copies(): words of a shingle; 64-bit words of a fingerprint; bands and the bits of each, drawn from all its bits.
+COPY_SHINGLE, COPY_WORDS, BANDS, BAND_BITS = 5, 4, 48, 16
+#: near_copies(): most differing bits in the first word, and in all. A Jaccard similarity of 0.8 is a cosine of 8/9, so about
+#: 39 of 256 bits differ; one standard deviation more is let through.
+FIRST_BUDGET, COPY_BUDGET = 22, 44
 
 
-def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """uint64 SimHash of each text: a bit is set if over half of the shingles' hashes have it."""
+def _shingles(texts: list[bytes], shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all shingles, and the first one and the number of each text."""
     words = Words([t.lower() for t in texts])
     n = np.diff(words.first)
     shingles = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
@@ -40,7 +49,11 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -
     last = np.minimum(at + shingle, np.repeat(words.first[1:], shingles)) - 1
     blob, digest = words.blob, xxhash.xxh64_intdigest
     hashes = np.array([digest(blob[a:b], seed) for a, b in zip(words.start[at].tolist(), words.end[last].tolist(), strict=True)], np.uint64)
-    out = np.zeros(len(texts), np.uint64)
+    return hashes, begins, shingles
+
+
+def _votes(hashes: np.ndarray, begins: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(begins), np.uint64)
     full = np.flatnonzero(shingles)
     if len(full):
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -49,6 +62,25 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -
     return out
 
 
+def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """uint64 SimHash of each text: a bit is set if over half of the shingles' hashes have it."""
+    return _votes(*_shingles(texts, shingle, seed))
+
+
+_ODD = np.random.default_rng(64).integers(1, 2**63, (64, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def long_fingerprints(texts: list[bytes], shingle: int = COPY_SHINGLE, words: int = COPY_WORDS, seed: int = SEED) -> np.ndarray:
+    """`words` uint64 of SimHash for each text; the first is fingerprints(), each other one votes on the hashes mixed anew."""
+    hashes, begins, shingles = _shingles(texts, shingle, seed)
+    out, half = [_votes(hashes, begins, shingles)], np.uint64(32)
+    for first, second in _ODD[1:words]:
+        h = (hashes ^ (hashes >> half)) * first
+        h = (h ^ (h >> half)) * second
+        out.append(_votes(h ^ (h >> half), begins, shingles))
+    return np.stack(out, axis=1)
+
+
 def _fingerprint(shingle: int):
     def fingerprint(batches):
         for batch in sliced(batches):
@@ -77,8 +109,11 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def trie_forest(fp: np.ndarray, begin: np.ndarray, end: np.ndarray, budget: int = BUDGET) -> np.ndarray:
-    """For fingerprints that are sorted inside each range begin:end, the least index that each one reaches by links in its range."""
+def trie_forest(fp: np.ndarray, begin: np.ndarray, end: np.ndarray, budget: int = BUDGET, rest: np.ndarray | None = None, total: int | None = None) -> np.ndarray:
+    """For fingerprints that are sorted inside each range begin:end, the least index that each one reaches by links in its range.
+
+    With further words of the fingerprints in `rest`, a link also needs at most `total` differing bits in all words.
+    """
     label = np.arange(len(fp))
     wide = end - begin > 1
     stack = [(begin[wide], end[wide], begin[wide], end[wide])]
@@ -106,13 +141,17 @@ def trie_forest(fp: np.ndarray, begin: np.ndarray, end: np.ndarray, budget: int
             inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             i, j = x[of] + inside // m[of], y[of] + inside % m[of]
             hit = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
+            if rest is not None:
+                close = np.flatnonzero(hit)
+                differ = np.bitwise_count(fp[i[close]] ^ fp[j[close]]).astype(np.int64) + np.bitwise_count(rest[i[close]] ^ rest[j[close]]).sum(axis=1, dtype=np.int64)
+                hit[close] = differ <= total
             if hit.any():
                 label, fresh = _unite(label, i[hit], j[hit]), False
         a, b, c, d, left, right = a[~direct], b[~direct], c[~direct], d[~direct], left[~direct], right[~direct]
         if not len(a):
             continue
         same = a == c
-        swap = right > left  # the node that branches higher is split
+        swap = (right > left) | ((right == left) & (d - c > b - a))  # the node that branches higher is split, or the larger one
         a, b, c, d, left = np.where(swap, c, a), np.where(swap, d, b), np.where(swap, a, c), np.where(swap, b, d), np.where(swap, right, left)
         top = left ^ (left >> np.uint64(1))
         low, high = a.copy(), b.copy()
@@ -121,21 +160,22 @@ def trie_forest(fp: np.ndarray, begin: np.ndarray, end: np.ndarray, budget: int
             one = (fp[np.minimum(mid, len(fp) - 1)] & top) != 0
             high = np.where(open_ & one, mid, high)
             low = np.where(open_ & ~one, mid + 1, low)
+        low = np.where(top == 0, (a + b) >> 1, low)  # equal first words
         own, other = same, ~same
         stack.append((np.concatenate([a[other], low[other], a[own]]), np.concatenate([low[other], b[other], low[own]]), np.concatenate([c[other], c[other], low[own]]), np.concatenate([d[other], d[other], b[own]])))
         stack.append((np.concatenate([a[own], low[own]]), np.concatenate([low[own], b[own]]), np.concatenate([a[own], low[own]]), np.concatenate([low[own], b[own]])))
     return label
 
 
-def _join(budget: int):
+def _join(budget: int, words: list[str], total: int | None):
     def forest(held: list[np.ndarray], last: bool):
-        key, fp, rep = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2))
+        key, fp, rep, more = (np.concatenate([x[i] for x in held]) for i in range(4))
         cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
         whole = len(fp) if last else int(cuts[-1]) if len(cuts) else 0
-        rest = [(key[whole:], fp[whole:], rep[whole:])]
+        rest = [(key[whole:], fp[whole:], rep[whole:], more[whole:])]
         begin = np.concatenate([[0], cuts[cuts < whole]]).astype(np.int64)
         end = np.append(begin[1:], whole)
-        label = trie_forest(fp[:whole], begin, end, budget) if whole else np.zeros(0, np.int64)
+        label = trie_forest(fp[:whole], begin, end, budget, more[:whole] if words else None, total) if whole else np.zeros(0, np.int64)
         to = np.flatnonzero(label != np.arange(whole))
         return rest, pa.RecordBatch.from_arrays([pa.array(rep[to]), pa.array(rep[label[to]])], ["a", "b"])
 
@@ -144,7 +184,8 @@ def _join(budget: int):
         for batch in batches:
             key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("blocks", "key", "t", "u")], axis=1)
             flipped = batch.column("flipped").to_numpy(zero_copy_only=False).view(np.uint64)
-            held.append((key, flipped ^ np.uint64(1 << 63), batch.column("rep").to_numpy(zero_copy_only=False)))
+            more = np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in words], axis=1) if words else np.zeros((batch.num_rows, 0), np.uint64)
+            held.append((key, flipped ^ np.uint64(1 << 63), batch.column("rep").to_numpy(zero_copy_only=False), more))
             n += batch.num_rows
             if n >= JOIN_ROWS:
                 held, links = forest(held, False)
@@ -163,7 +204,11 @@ def links(classes: DataFrame, budget: int = BUDGET, agree: int = AGREE) -> DataF
     mask = [sum(1 << bit for bit in range(edges[i], edges[i + 1])) for i in range(blocks)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     pairs = F.array(*(F.struct(F.lit(i).alias("blocks"), F.col("fp").bitwiseAND(F.lit(signed(sum(mask[x] for x in own)))).alias("key")) for i, own in enumerate(combinations(range(blocks), agree))))
-    keyed = classes.select("fp", "rep", F.explode(pairs).alias("k")).select("fp", "rep", "k.blocks", "k.key")
+    return _met(classes.select("fp", "rep", F.explode(pairs).alias("k")).select("fp", "rep", "k.blocks", "k.key"), budget)
+
+
+def _met(keyed: DataFrame, budget: int, words: tuple[str, ...] = (), total: int | None = None) -> DataFrame:
+    """Edges a, b of a spanning forest of each bucket of keyed(blocks, key, fp, rep, and the columns `words`)."""
     large = stored(keyed.groupBy("blocks", "key").count().where(F.col("count") > BUCKET_ROWS).withColumn("parts", F.ceil(F.col("count") / BUCKET_ROWS).cast("int")).drop("count"))
     if large.isEmpty():
         dealt = keyed.withColumns({"t": F.lit(0), "u": F.lit(0)})
@@ -172,8 +217,8 @@ def links(classes: DataFrame, budget: int = BUDGET, agree: int = AGREE) -> DataF
         own = keyed.join(large, ["blocks", "key"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int"))
         dealt = own.withColumn("v", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"t": F.least("own", "v"), "u": F.greatest("own", "v")})
     key = ["blocks", "key", "t", "u"]
-    dealt = dealt.select(*key, F.col("fp").bitwiseXOR(F.lit(-(1 << 63))).alias("flipped"), "rep")
-    return dealt.repartition(*key).sortWithinPartitions(*key, "flipped").mapInArrow(_join(budget), "a long, b long")
+    dealt = dealt.select(*key, F.col("fp").bitwiseXOR(F.lit(-(1 << 63))).alias("flipped"), "rep", *words)
+    return dealt.repartition(*key).sortWithinPartitions(*key, "flipped").mapInArrow(_join(budget, list(words), total), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
@@ -190,6 +235,46 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
     return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
+def _long_fingerprint(shingle: int):
+    def fingerprint(batches):
+        for batch in sliced(batches):
+            values = long_fingerprints(texts_of(batch.column("text")), shingle).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids_of(batch.column("doc_id"))), *map(pa.array, values.T.copy())], ["doc_id", "fp", "w1", "w2", "w3"])
+
+    return fingerprint
+
+
+def _bands(batches):
+    """A row for each band of each class; the bands are the same in every task."""
+    drawn = np.random.default_rng(SEED)
+    places = np.concatenate([drawn.permutation(64 * COPY_WORDS)[:BAND_BITS] for _ in range(BANDS)])
+    names = ["rep", "fp", "w1", "w2", "w3"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            n = part.num_rows
+            prints = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in names[1:]], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(n, -1), axis=1)
+            key = bits[:, places].reshape(n * BANDS, BAND_BITS) @ (1 << np.arange(BAND_BITS))
+            rows = pa.array(np.repeat(np.arange(n), BANDS))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in names), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(key.astype(np.int64))], [*names, "blocks", "key"])
+
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
+    """doc_id and component_id of every row of docs(doc_id, text, ...), linked at a shingle similarity of about 0.8 or more.
+
+    Links are those of fingerprints of 256 bits with at most COPY_BUDGET differing bits that share a band; README.md has
+    the measured recall. Nulls, empty texts and repeated rows as in near_duplicates().
+    """
+    words = ["fp", "w1", "w2", "w3"]
+    prints = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_long_fingerprint(shingle), "doc_id long, fp long, w1 long, w2 long, w3 long"))
+    classes = stored(prints.groupBy(*words).agg(F.min("doc_id").alias("rep")))
+    keyed = classes.mapInArrow(_bands, "rep long, fp long, w1 long, w2 long, w3 long, blocks int, key long")
+    found = components(_met(keyed, FIRST_BUDGET, ("w1", "w2", "w3"), COPY_BUDGET))
+    whole = classes.join(found, classes.rep == found.node, "left").select(*words, F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(whole, words).select("doc_id", "component_id")
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -155,6 +155,42 @@ def test_simhash_links_join_what_brute_force_joins(spark, monkeypatch, rows, agr
     assert {i: found.get(i, i) for i in range(len(fps))} == want
 
 
+def test_trie_forest_over_several_words():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, (30, 4), dtype=np.uint64)
+    rows = [base[rng.integers(30)].copy() for _ in range(500)] + [base[0].copy() for _ in range(300)]
+    for row in rows:
+        for bit in rng.choice(256, rng.integers(0, 50), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    for row in rows[500:]:  # many with one first word
+        row[0] = base[0, 0]
+    prints = np.array(rows)[np.argsort([int(r[0]) for r in rows], kind="stable")]
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).astype(int)
+    linked = (apart[:, :, 0] <= 22) & (apart.sum(axis=2) <= 44)
+    want = np.arange(len(prints))
+    while not np.array_equal(least := np.where(linked, want[None], len(prints)).min(axis=1), want):
+        want = least
+    got = simhash.trie_forest(prints[:, 0].copy(), np.array([0]), np.array([len(prints)]), 22, prints[:, 1:].copy(), 44)
+    assert np.array_equal(got, want)
+
+
+@pytest.mark.parametrize("rows", [50_000, 40])
+def test_near_copies(spark, docs, nothing, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", rows)
+    rng = np.random.default_rng(5)
+    words = lambda n: [str(x) for x in rng.integers(0, 5000, n)]
+    base, texts = [words(250) for _ in range(12)], []
+    for i in range(120):
+        text = list(base[i % 12])
+        text[int(rng.integers(0, 240))] = "other"  # 5 of 246 shingles
+        texts.append(" ".join(text))
+    texts += [" ".join(words(250)) for _ in range(40)] + [" ".join(base[0][:125] + words(125))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(table(spark, texts)).collect()}
+    assert got == {i: i % 12 if i < 120 else i for i in range(len(texts))}
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_copies(docs).collect() if r.doc_id in (3, 4, 5, 11, 14)) == [(3, 3), (4, 3), (5, 3), (11, 0), (14, 0)]
+    assert simhash.near_copies(nothing).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
