@@ -7,10 +7,9 @@ texts that it was learned from is rejected.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ SAMPLE_ROWS, MOST_LANGUAGES = 500, 1000
 #: A text is rejected under this part of the cosine that all but one in a thousand learned texts reach.
 REJECT_PART = 0.5
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _LETTERS_ONLY = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 

@@ -155,6 +155,11 @@ def test_simhash_links_join_what_brute_force_joins(spark, monkeypatch, rows, agr
     assert {i: found.get(i, i) for i in range(len(fps))} == want
 
 
+def test_only_letters_are_letters():
+    model = language_id.Model(["a", "b"], language_id.counts(["one two", "drei vier"]))
+    assert [x[0] == "und" for x in model.predict(["²½ ①", "_1", "", None, "é", "字", "ª"])] == [True] * 4 + [False] * 3
+
+
 def test_trie_forest_over_several_words():
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**64, (30, 4), dtype=np.uint64)
