@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, ids_of, sliced, stored, table, texts_of
+from .common import SLICE_BYTES, Words, ids_of, sliced, stored, table, texts_of
 from .components import components
 
 BUDGET, SHINGLE, SEED = 4, 4, 42
@@ -30,7 +30,7 @@ BUDGET, SHINGLE, SEED = 4, 4, 42
 AGREE = 2
 #: Most rows of a bucket in one task; larger buckets are dealt as pairs of parts.
 BUCKET_ROWS = 50_000
-#: Rows that a task joins at once, node pairs in one step, and the largest product of node sizes that is compared directly.
+#: Rows that a task joins at once and node pairs in one step (over the words of a fingerprint), and the largest product of node sizes that is compared directly.
 JOIN_ROWS, STEP, DIRECT = 100_000, 20_000, 64
 #: near_copies(): words of a shingle; 64-bit words of a fingerprint; bands and the bits of each, drawn from all its bits.
 COPY_SHINGLE, COPY_WORDS, BANDS, BAND_BITS = 5, 4, 48, 16
@@ -118,10 +118,11 @@ def trie_forest(fp: np.ndarray, begin: np.ndarray, end: np.ndarray, budget: int
     wide = end - begin > 1
     stack = [(begin[wide], end[wide], begin[wide], end[wide])]
     changes, fresh = np.zeros(len(fp), np.int64), False
+    step = STEP if rest is None else STEP // (1 + rest.shape[1])
     while stack:
         a, b, c, d = stack.pop()
-        if len(a) > STEP:
-            half = len(a) - STEP
+        if len(a) > step:
+            half = len(a) - step
             stack.append((a[:half], b[:half], c[:half], d[:half]))
             a, b, c, d = a[half:], b[half:], c[half:], d[half:]
         if not fresh:
@@ -187,7 +188,7 @@ def _join(budget: int, words: list[str], total: int | None):
             more = np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in words], axis=1) if words else np.zeros((batch.num_rows, 0), np.uint64)
             held.append((key, flipped ^ np.uint64(1 << 63), batch.column("rep").to_numpy(zero_copy_only=False), more))
             n += batch.num_rows
-            if n >= JOIN_ROWS:
+            if n >= JOIN_ROWS // (1 + len(words)):
                 held, links = forest(held, False)
                 n = len(held[0][1])
                 yield links
@@ -237,7 +238,7 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
 
 def _long_fingerprint(shingle: int):
     def fingerprint(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=SLICE_BYTES // COPY_WORDS):
             values = long_fingerprints(texts_of(batch.column("text")), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids_of(batch.column("doc_id"))), *map(pa.array, values.T.copy())], ["doc_id", "fp", "w1", "w2", "w3"])
 
