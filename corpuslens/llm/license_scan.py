@@ -1,14 +1,19 @@
 """Licence scans by patience alignment.
 
 Words that are unique both in a passage and in a licence text anchor the alignment; the longest increasing subsequence of
-the anchors stays, and the gaps between them are aligned in the same way. The part of the licence's words that is matched
-is its coverage.
+the anchors stays, and the gaps between them are aligned in the same way; a gap without anchors, of any size, by a longest
+common subsequence. The part of the licence's words that is matched is its coverage.
+
+Where that finds no verbatim notice around a keyword (repeated notices leave no unique words), all passages that can hold
+the keyword are compared with the notice by longest common subsequences, in bit-parallel rows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +22,10 @@ from .common import sliced, table
 
 #: Least coverage, and least matched words for each word of the passage between the first and the last match.
 COVERAGE, DENSITY = 0.8, 0.6
-#: Words around the licence's length that a passage may span, and the largest gap (words by words) without anchors that is aligned in full.
-SLACK, SMALL_GAP = 20, 10_000
+#: Words around the licence's length that are aligned first on both sides of a keyword.
+SLACK = 20
+#: What a word of a passage costs in matched words when its bounds are chosen: an end is moved for one more match over up to 3 others.
+WORD_COST = 0.25
 
 # Notices of public licences, and the words of each that must be among the matched ones.
 NOTICES = {
@@ -93,18 +100,28 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _masks(b: list[bytes]) -> dict[bytes, int]:
+    """The places of each word, as bits."""
+    out: dict[bytes, int] = {}
+    for j, w in enumerate(b):
+        out[w] = out.get(w, 0) | 1 << j
+    return out
+
+
 def _common(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short lists."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    """A longest common subsequence; one row of bits for each word of a."""
+    masks, full = _masks(b[::-1]), (1 << len(b)) - 1
+    rows, row = [full] * (len(a) + 1), full  # row i: bit k is 0 where the last k + 1 words of b have one match more in a[i:] than the last k
     for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        hit = row & masks.get(a[i], 0)
+        rows[i] = row = (row + hit | row - hit) & full
+    best = lambda i, j: len(b) - j - (rows[i] & (1 << len(b) - j) - 1).bit_count()
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif best(i + 1, j) >= best(i, j + 1):
             i += 1
         else:
             j += 1
@@ -131,15 +148,34 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
             out += anchors
             edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
             stack += [(x + 1, u, y + 1, v) for (x, y), (u, v) in zip(edges, edges[1:], strict=False)]
-        elif (a1 - a0) * (b1 - b0) <= SMALL_GAP:
+        else:
             out += [(i + a0, j + b0) for i, j in _common(a[a0:a1], b[b0:b1])]
     return sorted(out)
 
 
+def _best_end(words: Iterable[bytes], masks: dict[bytes, int], size: int, coverage: float, density: float) -> tuple[float, int] | None:
+    """Score and length of the best beginning of `words` that reaches the limits for a notice of `size` words, the shortest of equals."""
+    row = full = (1 << size) - 1
+    best, matched = None, 0
+    for n, w in enumerate(words, 1):
+        if not (mask := masks.get(w)):
+            continue
+        hit = row & mask
+        row = (row + hit | row - hit) & full
+        if (now := size - row.bit_count()) > matched:
+            matched = now
+            if matched >= coverage * size and matched >= density * n and (best is None or matched - WORD_COST * n > best[0]):
+                best = (matched - WORD_COST * n, n)
+    return best
+
+
 class Scanner:
     def __init__(self, notices: dict[str, tuple[str, str]] = NOTICES):
-        self.notices = [(name, words_of(text.encode()), [w.encode() for w in must.split()]) for name, (text, must) in notices.items()]
-        self.any = {must[0] for _, _, must in self.notices}
+        self.notices = []
+        for name, (text, must) in notices.items():
+            notice = words_of(text.encode())
+            self.notices.append((name, notice, [w.encode() for w in must.split()], _masks(notice), _masks(notice[::-1])))
+        self.any = {must[0] for _, _, must, _, _ in self.notices}
 
     def scan(self, text: bytes, coverage: float = COVERAGE, density: float = DENSITY) -> list[tuple[str, float, int, int, int]]:
         """License, coverage, first word, past the last word, and number of passages; for each licence found, its best passage."""
@@ -147,33 +183,67 @@ class Scanner:
         if self.any.isdisjoint(words):
             return []
         has, out = set(words), []
-        for name, notice, must in self.notices:
+        for name, notice, must, masks, back in self.notices:
             if not has.issuperset(must):
                 continue
-            reach = len(notice) + SLACK
-            places, regions = [i for i, w in enumerate(words) if w == must[0]], []
-            for p in places:
-                if regions and p - reach < regions[-1][1]:
-                    regions[-1][1] = p + reach
+            found, begin, tried = [], 0, 0
+            for p in [i for i, w in enumerate(words) if w == must[0]]:
+                if p < begin:
+                    continue
+                low = max(begin, p - len(notice) - SLACK)
+                pairs = _dense(align(words[low : p + len(notice) + SLACK], notice), len(notice))
+                if len(pairs) == len(notice) and pairs[-1][0] - pairs[0][0] < len(notice) and 0 <= p - low - pairs[0][0] < len(notice):
+                    first, last = low + pairs[0][0], low + pairs[-1][0] + 1
+                elif bounds := self._around(words, p, begin, tried, notice, must, masks, back, coverage, density):
+                    first, last, pairs = bounds
                 else:
-                    regions.append([max(0, p - reach), p + reach])
-            found = []
-            for low, high in regions:
-                passage = words[low:high]
-                while passage and set(passage).issuperset(must):  # a region may hold the notice several times
-                    pairs = align(passage, notice)
-                    pairs = _dense(pairs, len(notice))
-                    if not pairs:
-                        break
-                    first, last = pairs[0][0], pairs[-1][0] + 1
-                    if len(pairs) >= coverage * len(notice) and len(pairs) >= density * (last - first) and {passage[i] for i, _ in pairs}.issuperset(must):
-                        found.append((len(pairs) / len(notice), -(low + first), low + last))
-                    passage, low = passage[last:], low + last
+                    tried = p + 1
+                    continue
+                found.append((len(pairs) / len(notice), -first, last))
+                begin = last
             if found:
                 best = max(found)
                 out.append((name, best[0], -best[1], best[2], len(found)))
         return out
 
+    @staticmethod
+    def _around(words, p, begin, tried, notice, must, masks, back, coverage, density):
+        """First word, past the last word and matched places of the first passage with word p, from `begin` on, that reaches the limits.
+
+        Starts before `tried` are known to give none.
+        """
+        size = len(notice)
+        span = int(size / density + 1e-9)  # beyond it even a whole match is too thin
+        base = max(begin, p - span + 1)
+        area = words[base : p + span]
+        known = list(accumulate((w in masks for w in area), initial=0))
+        where = [[i for i, w in enumerate(area) if w == m] for m in must[1:]]
+        for start in range(max(0, tried - base), p - base + 1):
+            stop = min(start + span, len(area))
+            if area[start] not in masks or known[stop] - known[start] < coverage * size:
+                continue
+            if any((k := bisect_left(own, start)) == len(own) or own[k] >= stop for own in where):
+                continue
+            if not (best := _best_end(area[start:stop], masks, size, coverage, density)):
+                continue
+            first, last = start, start + best[1]
+            while True:  # each step moves one bound to where the score is higher
+                score, n = _best_end(reversed(area[max(0, last - span) : last]), back, size, coverage, density)
+                if score <= best[0]:
+                    break
+                first, best = last - n, (score, n)
+                score, n = _best_end(area[first : first + span], masks, size, coverage, density)
+                if score <= best[0]:
+                    break
+                last, best = first + n, (score, n)
+            if first <= p - base < last:
+                pairs = align(area[first:last], notice)
+                if len(pairs) < len(longest := _common(area[first:last], notice)):
+                    pairs = longest
+                if {area[first + i] for i, _ in pairs}.issuperset(must):
+                    return base + first, base + last, pairs
+        return None
+
 
 def _dense(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     """The pairs whose places lie together: a stretch of at most twice the notice's length with the most of them, the earliest such."""

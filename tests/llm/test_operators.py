@@ -417,6 +417,40 @@ def test_license_scan(spark, docs, nothing):
     assert license_scan.license_scan(docs).count() == 0 and license_scan.license_scan(nothing).count() == 0
 
 
+@pytest.mark.parametrize("name", ["apache-2.0-header", "mit-text", "gpl-header", "bsd-3-clause"])
+@pytest.mark.parametrize("apart", [0, 1, 60, 100])
+def test_license_scan_finds_long_notices_that_stand_close_together(name, apart):
+    notice = license_scan.words_of(license_scan.NOTICES[name][0].encode())
+    filler = [b"w%d" % i for i in range(500)]
+    changed = [w for i, w in enumerate(notice) if i != 3]
+    for copies in ([notice, notice], [notice] * 5, [changed, notice], [notice, changed]):
+        text, at = list(filler), []
+        for own in copies:
+            at.append((len(text), len(text) + len(own)))
+            text += own + filler[:apart]
+        got = {r[0]: r[1:] for r in license_scan.Scanner().scan(b" ".join(text + filler))}
+        assert got[name] == (1.0, *at[copies.index(notice)], len(copies))
+
+
+def test_license_scan_finds_a_line_seventy_times_and_one_behind_a_thin_one():
+    line, filler = license_scan.words_of(NOTICE.encode()), [b"w%d" % i for i in range(40)]
+    for apart in (0, 3, 40):
+        got = {r[0]: r[1:] for r in license_scan.Scanner().scan(b" ".join((line + filler[:apart]) * 70))}
+        assert got["gpl-3.0"] == (1.0, 0, 12, 70)
+    thin = b" ".join(w + b" x y" for w in line)
+    assert license_scan.Scanner().scan(thin) == []
+    assert [r[:4] for r in license_scan.Scanner().scan(thin + b" z z z " + b" ".join(line))] == [("gpl-3.0", 1.0, 39, 51)]
+
+
+def test_long_gaps_without_anchors_are_aligned():
+    rng = np.random.default_rng(9)
+    a, b = ([bytes([97 + int(x)]) for x in rng.integers(0, 4, n)] for n in (300, 90))
+    row = [0] * (len(b) + 1)
+    for w in a:
+        row = list(np.maximum.accumulate([0] + [max(row[j + 1], row[j] + 1) if w == b[j] else row[j + 1] for j in range(len(b))]))
+    assert len(license_scan._common(a, b)) == row[-1] and len(license_scan.align(a, b)) > 0.8 * row[-1]
+
+
 def test_alignment_is_a_common_subsequence_close_to_the_longest():
     rng = np.random.default_rng(8)
     for _ in range(50):
