@@ -8,8 +8,9 @@ dropped when they exceed the budget, or when all its leaves are in one component
 forest of its links, never all pairs. A bucket over the bound is dealt as pairs of parts.
 
 64 bits do not tell a similarity of 0.8 from one of 0.7, and no small budget finds both ends of it. near_copies() therefore
-votes on 256 bits from the same shingles and lets rows meet in bands of sampled bits; there the same trie over the first 64
-bits proposes pairs, and all 256 bits decide.
+votes on 256 bits from the same shingles and lets rows meet in bands of sampled bits, short texts by shingles; there the same
+trie over the first 64 bits and all 256 bits only propose pairs, and the sets of shingles decide. Pairs in a small budget go
+first, as forests; what these join up is left out when pairs in a wide budget are proposed one by one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Words, ids_of, sliced, stored, table, texts_of
+from .common import SLICE_BYTES, Words, ids_of, release, sliced, stored, table, texts_of
 from .components import components
 
 BUDGET, SHINGLE, SEED = 4, 4, 42
@@ -37,6 +38,10 @@ COPY_SHINGLE, COPY_WORDS, BANDS, BAND_BITS = 5, 4, 48, 16
 #: near_copies(): most differing bits in the first word, and in all. A Jaccard similarity of 0.8 is a cosine of 8/9, so about
 #: 39 of 256 bits differ; one standard deviation more is let through.
 FIRST_BUDGET, COPY_BUDGET = 22, 44
+#: The same for pairs proposed one by one: of 5 and 4 shingles about 48 bits differ, and three standard deviations more are let through.
+WIDE_FIRST, WIDE_BUDGET = 24, 68
+#: Least similarity of two shingle sets, as a fraction, and the sets so small that they meet by shingles instead of bands.
+ENOUGH, WHOLE, FEW = 4, 5, 32
 
 
 def _shingles(texts: list[bytes], shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,12 +114,14 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def trie_forest(fp: np.ndarray, begin: np.ndarray, end: np.ndarray, budget: int = BUDGET, rest: np.ndarray | None = None, total: int | None = None) -> np.ndarray:
+def trie_forest(fp: np.ndarray, begin: np.ndarray, end: np.ndarray, budget: int = BUDGET, rest: np.ndarray | None = None, total: int | None = None, known: np.ndarray | None = None) -> np.ndarray:
     """For fingerprints that are sorted inside each range begin:end, the least index that each one reaches by links in its range.
 
-    With further words of the fingerprints in `rest`, a link also needs at most `total` differing bits in all words.
+    With further words of the fingerprints in `rest`, a link also needs at most `total` differing bits in all words. With the
+    components that are `known`, returns all links between different ones instead, as two rows of indices.
     """
-    label = np.arange(len(fp))
+    label = np.arange(len(fp)) if known is None else known
+    pairs = [np.zeros((2, 0), np.int64)]
     wide = end - begin > 1
     stack = [(begin[wide], end[wide], begin[wide], end[wide])]
     changes, fresh = np.zeros(len(fp), np.int64), False
@@ -141,12 +148,14 @@ def trie_forest(fp: np.ndarray, begin: np.ndarray, end: np.ndarray, budget: int
             of = np.repeat(np.arange(len(x)), each)
             inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             i, j = x[of] + inside // m[of], y[of] + inside % m[of]
-            hit = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
+            hit = (i != j if known is None else label[i] != label[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
             if rest is not None:
                 close = np.flatnonzero(hit)
                 differ = np.bitwise_count(fp[i[close]] ^ fp[j[close]]).astype(np.int64) + np.bitwise_count(rest[i[close]] ^ rest[j[close]]).sum(axis=1, dtype=np.int64)
                 hit[close] = differ <= total
-            if hit.any():
+            if known is not None:
+                pairs.append(np.stack([i[hit], j[hit]]))
+            elif hit.any():
                 label, fresh = _unite(label, i[hit], j[hit]), False
         a, b, c, d, left, right = a[~direct], b[~direct], c[~direct], d[~direct], left[~direct], right[~direct]
         if not len(a):
@@ -165,17 +174,21 @@ def trie_forest(fp: np.ndarray, begin: np.ndarray, end: np.ndarray, budget: int
         own, other = same, ~same
         stack.append((np.concatenate([a[other], low[other], a[own]]), np.concatenate([low[other], b[other], low[own]]), np.concatenate([c[other], c[other], low[own]]), np.concatenate([d[other], d[other], b[own]])))
         stack.append((np.concatenate([a[own], low[own]]), np.concatenate([low[own], b[own]]), np.concatenate([a[own], low[own]]), np.concatenate([low[own], b[own]])))
-    return label
+    return label if known is None else np.concatenate(pairs, axis=1)
 
 
-def _join(budget: int, words: list[str], total: int | None):
+def _join(budget: int, words: list[str], total: int | None, known: str | None):
     def forest(held: list[np.ndarray], last: bool):
-        key, fp, rep, more = (np.concatenate([x[i] for x in held]) for i in range(4))
+        key, fp, rep, more, part = (np.concatenate([x[i] for x in held]) for i in range(5))
         cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
         whole = len(fp) if last else int(cuts[-1]) if len(cuts) else 0
-        rest = [(key[whole:], fp[whole:], rep[whole:], more[whole:])]
+        rest = [(key[whole:], fp[whole:], rep[whole:], more[whole:], part[whole:])]
         begin = np.concatenate([[0], cuts[cuts < whole]]).astype(np.int64)
         end = np.append(begin[1:], whole)
+        if known:
+            a, b = trie_forest(fp[:whole], begin, end, budget, more[:whole], total, part[:whole]) if whole else np.zeros((2, 0), np.int64)
+            found = np.unique(np.sort(np.stack([rep[a], rep[b]]), axis=0), axis=1)
+            return rest, pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
         label = trie_forest(fp[:whole], begin, end, budget, more[:whole] if words else None, total) if whole else np.zeros(0, np.int64)
         to = np.flatnonzero(label != np.arange(whole))
         return rest, pa.RecordBatch.from_arrays([pa.array(rep[to]), pa.array(rep[label[to]])], ["a", "b"])
@@ -186,7 +199,8 @@ def _join(budget: int, words: list[str], total: int | None):
             key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("blocks", "key", "t", "u")], axis=1)
             flipped = batch.column("flipped").to_numpy(zero_copy_only=False).view(np.uint64)
             more = np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in words], axis=1) if words else np.zeros((batch.num_rows, 0), np.uint64)
-            held.append((key, flipped ^ np.uint64(1 << 63), batch.column("rep").to_numpy(zero_copy_only=False), more))
+            rep = batch.column("rep").to_numpy(zero_copy_only=False)
+            held.append((key, flipped ^ np.uint64(1 << 63), rep, more, batch.column(known).to_numpy(zero_copy_only=False) if known else rep))
             n += batch.num_rows
             if n >= JOIN_ROWS // (1 + len(words)):
                 held, links = forest(held, False)
@@ -208,8 +222,11 @@ def links(classes: DataFrame, budget: int = BUDGET, agree: int = AGREE) -> DataF
     return _met(classes.select("fp", "rep", F.explode(pairs).alias("k")).select("fp", "rep", "k.blocks", "k.key"), budget)
 
 
-def _met(keyed: DataFrame, budget: int, words: tuple[str, ...] = (), total: int | None = None) -> DataFrame:
-    """Edges a, b of a spanning forest of each bucket of keyed(blocks, key, fp, rep, and the columns `words`)."""
+def _met(keyed: DataFrame, budget: int, words: tuple[str, ...] = (), total: int | None = None, known: str | None = None) -> DataFrame:
+    """Edges a, b of a spanning forest of each bucket of keyed(blocks, key, fp, rep, and the columns `words`).
+
+    With the column of components that are `known`, all edges between different ones, some of them more than once.
+    """
     large = stored(keyed.groupBy("blocks", "key").count().where(F.col("count") > BUCKET_ROWS).withColumn("parts", F.ceil(F.col("count") / BUCKET_ROWS).cast("int")).drop("count"))
     if large.isEmpty():
         dealt = keyed.withColumns({"t": F.lit(0), "u": F.lit(0)})
@@ -218,8 +235,8 @@ def _met(keyed: DataFrame, budget: int, words: tuple[str, ...] = (), total: int
         own = keyed.join(large, ["blocks", "key"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int"))
         dealt = own.withColumn("v", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"t": F.least("own", "v"), "u": F.greatest("own", "v")})
     key = ["blocks", "key", "t", "u"]
-    dealt = dealt.select(*key, F.col("fp").bitwiseXOR(F.lit(-(1 << 63))).alias("flipped"), "rep", *words)
-    return dealt.repartition(*key).sortWithinPartitions(*key, "flipped").mapInArrow(_join(budget, list(words), total), "a long, b long")
+    dealt = dealt.select(*key, F.col("fp").bitwiseXOR(F.lit(-(1 << 63))).alias("flipped"), "rep", *words, *filter(None, [known]))
+    return dealt.repartition(*key).sortWithinPartitions(*key, "flipped").mapInArrow(_join(budget, list(words), total, known), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
@@ -236,44 +253,100 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
     return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_sets(texts: list[bytes], shingle: int = COPY_SHINGLE) -> list[np.ndarray]:
+    """The different shingle hashes of each text, rising."""
+    hashes, begins, shingles = _shingles(texts, shingle, SEED)
+    return [np.unique(hashes[b : b + n]) for b, n in zip(begins.tolist(), shingles.tolist(), strict=True)]
+
+
 def _long_fingerprint(shingle: int):
     def fingerprint(batches):
         for batch in sliced(batches, limit=SLICE_BYTES // COPY_WORDS):
-            values = long_fingerprints(texts_of(batch.column("text")), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(batch.column("doc_id"))), *map(pa.array, values.T.copy())], ["doc_id", "fp", "w1", "w2", "w3"])
+            texts = texts_of(batch.column("text"))
+            values, sets = long_fingerprints(texts, shingle).view(np.int64), shingle_sets(texts, shingle)
+            rep = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            # two sets similar enough share one of so many least hashes of each
+            keys = [x[: len(x) - -(-ENOUGH * len(x) // WHOLE) + 1].view(np.int64) if 0 < len(x) * ENOUGH < FEW * WHOLE else () for x in sets]
+            columns = [pa.array(ids_of(batch.column("doc_id"))), batch.column("mark"), pa.array(rep), pa.array(list(map(len, sets)), pa.int64()), *map(pa.array, values.T.copy()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "rep", "n", "fp", "w1", "w2", "w3", "keys"])
 
     return fingerprint
 
 
 def _bands(batches):
-    """A row for each band of each class; the bands are the same in every task."""
+    """A row for each band of each class, the bands are the same in every task; and one for each of its keys."""
     drawn = np.random.default_rng(SEED)
     places = np.concatenate([drawn.permutation(64 * COPY_WORDS)[:BAND_BITS] for _ in range(BANDS)])
-    names = ["rep", "fp", "w1", "w2", "w3"]
+    prints, names = ["fp", "w1", "w2", "w3"], ["rep", "comp", "fp", "w1", "w2", "w3"]
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
-            n = part.num_rows
-            prints = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in names[1:]], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(n, -1), axis=1)
-            key = bits[:, places].reshape(n * BANDS, BAND_BITS) @ (1 << np.arange(BAND_BITS))
-            rows = pa.array(np.repeat(np.arange(n), BANDS))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in names), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(key.astype(np.int64))], [*names, "blocks", "key"])
+            large = np.flatnonzero(part.column("n").to_numpy(zero_copy_only=False) >= FEW)
+            words = np.stack([part.column(c).to_numpy(zero_copy_only=False)[large] for c in prints], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(large), 8 * COPY_WORDS), axis=1)
+            key = bits[:, places].reshape(len(large) * BANDS, BAND_BITS) @ (1 << np.arange(BAND_BITS))
+            keys = part.column("keys").to_pylist()
+            own = np.array([k for x in keys for k in x], np.int64)
+            rows = pa.array(np.concatenate([np.repeat(large, BANDS), np.repeat(np.arange(len(keys)), list(map(len, keys)))]).astype(np.int64))
+            blocks = np.concatenate([np.tile(np.arange(BANDS, dtype=np.int32), len(large)), np.full(len(own), BANDS, np.int32)])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in names), pa.array(blocks), pa.array(np.concatenate([key.astype(np.int64), own]))], [*names, "blocks", "key"])
+
+
+def _sets(shingle: int):
+    def sets(batches):
+        for batch in sliced(batches):
+            found = [x.tobytes() for x in shingle_sets(texts_of(batch.column("text")), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.binary())], ["rep", "shingles"])
+
+    return sets
+
+
+def _similar(batches):
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(WHOLE * both >= ENOUGH * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs a, b of classes(rep, mark, n) whose sets of shingles have a similarity of 0.8 or more."""
+    size = classes.select("rep", "n")
+    first, second = size.toDF("a", "n_a"), size.toDF("b", "n_b")
+    fit = F.least("n_a", "n_b") * WHOLE >= F.greatest("n_a", "n_b") * ENOUGH
+    pairs = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, "a").join(second, "b").where(fit).select("a", "b"))
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    needed = classes.join(ends, "rep").select("rep", "mark")
+    texts = docs.select(F.xxhash64("text").alias("mark"), "text").join(needed, "mark").dropDuplicates(["rep"]).select("rep", "text")
+    sets = stored(texts.mapInArrow(_sets(shingle), "rep long, shingles binary"))
+    held = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    out = stored(held.mapInArrow(_similar, "a long, b long"))
+    release(sets), release(pairs)
+    return out
 
 
 def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
-    """doc_id and component_id of every row of docs(doc_id, text, ...), linked at a shingle similarity of about 0.8 or more.
+    """doc_id and component_id of every row of docs(doc_id, text, ...), linked at a shingle similarity of 0.8 or more.
 
-    Links are those of fingerprints of 256 bits with at most COPY_BUDGET differing bits that share a band; README.md has
-    the measured recall. Nulls, empty texts and repeated rows as in near_duplicates().
+    A class is the rows with one set of shingles. Classes that share a band, or a key if they are small, and whose
+    fingerprints of 256 bits differ in at most WIDE_BUDGET bits are compared by their sets, and only those sets decide;
+    README.md has the measured recall. Nulls, empty texts and repeated rows as in near_duplicates().
     """
-    words = ["fp", "w1", "w2", "w3"]
-    prints = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_long_fingerprint(shingle), "doc_id long, fp long, w1 long, w2 long, w3 long"))
-    classes = stored(prints.groupBy(*words).agg(F.min("doc_id").alias("rep")))
-    keyed = classes.mapInArrow(_bands, "rep long, fp long, w1 long, w2 long, w3 long, blocks int, key long")
-    found = components(_met(keyed, FIRST_BUDGET, ("w1", "w2", "w3"), COPY_BUDGET))
-    whole = classes.join(found, classes.rep == found.node, "left").select(*words, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(whole, words).select("doc_id", "component_id")
+    words, more = ["fp", "w1", "w2", "w3"], ("w1", "w2", "w3")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    prints = stored(marked.mapInArrow(_long_fingerprint(shingle), "doc_id long, mark long, rep long, n long, fp long, w1 long, w2 long, w3 long, keys array<long>"))
+    classes = stored(prints.groupBy("rep").agg(F.min(F.struct("mark", "n", *words, "keys")).alias("c")).select("rep", "c.*"))
+    keyed = "rep long, comp long, fp long, w1 long, w2 long, w3 long, blocks int, key long"
+    near = _verified(_met(classes.withColumn("comp", F.col("rep")).mapInArrow(_bands, keyed), FIRST_BUDGET, more, COPY_BUDGET), classes, docs, shingle)
+    joined = components(near)
+    parts = classes.join(joined, classes.rep == joined.node, "left").withColumn("comp", F.coalesce("component", "rep")).select(*classes.columns, "comp")
+    wide = _verified(_met(parts.mapInArrow(_bands, keyed), WIDE_FIRST, more, WIDE_BUDGET, "comp"), classes, docs, shingle)
+    found = components(near.unionByName(wide))
+    whole = prints.select("doc_id", "rep").join(found, F.col("rep") == found.node, "left").select("doc_id", F.coalesce("component", "rep").alias("part"))
+    least = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return whole.join(least, "part").select("doc_id", "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -196,6 +196,36 @@ def test_near_copies(spark, docs, nothing, monkeypatch, rows):
     assert simhash.near_copies(nothing).count() == 0
 
 
+def test_near_copies_are_those_of_similar_shingles(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: [str(x) for x in rng.integers(0, 50_000, n)]
+    texts, want = [], []
+    for n, shared in [(9, 8)] * 60 + [(9, 7)] * 20 + [(200, 164)] * 20 + [(200, 176)] * 20 + [(34, 29), (39, 33), (60, 49), (60, 54)] * 5:
+        own = words(n)  # the second text has its first words only, or others behind them
+        other = own[:shared] + (words(n - shared) if n == 200 else [])
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (own, other))
+        want += [len(texts)] + [len(texts) if 5 * len(a & b) >= 4 * len(a | b) else len(texts) + 1]
+        texts += [" ".join(own), " ".join(other)]
+    line = "one two three four five six seven"
+    texts += [line, f"{line} " * 40 + " ".join(words(4))]  # the votes of one, and five more different shingles
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(table(spark, texts)).collect()}
+    assert got == dict(enumerate([*want, len(want), len(want) + 1]))
+
+
+def test_trie_gives_all_pairs_between_known_components():
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 2**64, (10, 4), dtype=np.uint64)
+    prints = np.sort(base[rng.integers(0, 10, 300)].view([("", np.uint64)] * 4).ravel()).view(np.uint64).reshape(-1, 4)
+    for row in prints:
+        for bit in rng.choice(192, 25, replace=False):
+            row[1 + bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    known = rng.integers(0, 4, len(prints))
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).astype(int)
+    hit = (apart[:, :, 0] <= 24) & (apart.sum(axis=2) <= 44) & (known[:, None] != known[None])
+    a, b = simhash.trie_forest(prints[:, 0].copy(), np.array([0]), np.array([len(prints)]), 24, prints[:, 1:].copy(), 44, known)
+    assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == {(i, j) for i, j in np.argwhere(hit).tolist() if i < j} != set()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
