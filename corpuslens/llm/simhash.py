@@ -244,12 +244,15 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
 
     Documents are linked if their fingerprints differ in at most `budget` bits; component_id is the smallest doc_id that
     links reach. Null and empty texts have fingerprint zero. A null doc_id takes part as the largest long value, and is
-    returned as that value. Rows that repeat a doc_id stay rows of their own. Other columns are ignored.
+    returned as that value. Rows that repeat a doc_id stay rows of their own, and join nothing by it: fingerprints are linked, not
+    doc_ids. Other columns are ignored.
     """
     prints = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint(shingle), "doc_id long, fp long"))
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(classes, budget))
-    whole = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    found = components(links(classes.select("fp", F.col("fp").alias("rep")), budget))
+    parts = classes.join(found, classes.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("part"))
+    least = parts.groupBy("part").agg(F.min("rep").alias("component_id"))
+    whole = parts.join(least, "part").select("fp", "component_id")
     return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -143,6 +143,20 @@ def test_simhash(spark, docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_simhash_does_not_join_texts_by_a_repeated_or_null_doc_id(spark):
+    rng = np.random.default_rng(11)
+    a, b, c, d = (" ".join(str(x) for x in rng.integers(0, 50_000, 60)) for _ in range(4))
+    near = a + " " + a  # a few shingles more
+    ids = [5, 1, 5, 7, None, None, 3]
+    texts = [a, near, b, b, c, d, c]
+    fps = [simhash_of(t) for t in texts]
+    rows = simhash.near_duplicates(table(spark, texts, ids)).collect()
+    linked = reach(fps, range(len(texts)), 4)
+    last = 2**63 - 1
+    want = {fps[i]: min(last if ids[k] is None else ids[k] for k in linked if linked[k] == linked[i]) for i in range(len(texts))}
+    assert len(rows) == 7 and all(r.component_id == want[r.fp & (2**64 - 1)] for r in rows) and len(set(want.values())) >= 4
+
+
 @pytest.mark.parametrize(("rows", "agree"), [(50_000, 2), (8, 2), (8, 3)])
 def test_simhash_links_join_what_brute_force_joins(spark, monkeypatch, rows, agree):
     monkeypatch.setattr(simhash, "BUCKET_ROWS", rows)
