@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,58 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..storage import release, shared_folder, stored  # noqa: F401  for the operators
+
 SPACE, NEWLINE = 32, 10
 #: Bytes of text that the vectorised operators look at in one go.
 SLICE_BYTES = 2 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if set_before := context.getCheckpointDir():
-        return set_before
-    if not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="corpuslens-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    context.setCheckpointDir(folder)
-    return folder
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage and survives lost executors.
-
-    The shuffle files of that job go as it ends; nothing else reads them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/corpuslens-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    if before is not None:
-        spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is not None:
-            spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Deletes the table behind what stored() returned, once nothing reads it any more."""
-    if path := getattr(df, "_stored_at", None):
-        spark = df.sparkSession
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def carried(docs: DataFrame, columns: list[str], more: str) -> T.StructType:
     """The schema of the given columns of docs and of more ones."""
     return T.StructType([docs.schema[c] for c in columns] + T.StructType.fromDDL(more).fields)
