@@ -6,44 +6,57 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a query block and of a candidate part, at most on average.
 BLOCK = 16_384
-VECTORS = "vec_id long, dim int, v binary"
+VECTORS = "vec_id long, dim int, length double, v binary"
 
 
 def usable(embeddings: DataFrame, convert: Callable[[np.ndarray], np.ndarray], zero: bool) -> DataFrame:
-    """vec_id, dim, v (bytes of convert(vector as doubles)) of the vectors that take part.
+    """vec_id, dim, length and v (bytes of convert(vector as doubles), and the norm of that) of the rows that take part.
 
-    Null vectors, those with null or non-finite components, those of no components and, unless `zero`, zero vectors don't;
-    nor does a null vec_id. A vec_id that occurs twice counts once, with the vector whose bytes are least.
+    Null vectors, those with null or non-finite components, also after convert, those of no components and, unless `zero`,
+    zero vectors don't; nor does a null vec_id, which no result could name. Rows that repeat a vec_id are rows of their own.
     """
 
     def read(batches):
         for batch in batches:
-            ids, dims, values = [], [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = v.values if v.is_valid else None
-                if i is None or x is None or not len(x) or x.null_count:
-                    continue
-                x = x.to_numpy(zero_copy_only=False).astype(np.float64)
-                if np.isfinite(x).all() and (zero or x.any()):
-                    ids.append(i), dims.append(len(x)), values.append(convert(x).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(values, pa.binary())], ["vec_id", "dim", "v"])
+            lists = batch.column(1)
+            size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = lists.flatten()
+            x = values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            first = np.cumsum(size) - size
+            named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for dim in np.unique(size[named & (size > 0)]).tolist():
+                rows = np.flatnonzero(named & (size == dim))
+                own = x[first[rows][:, None] + np.arange(dim)]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    out = np.ascontiguousarray(convert(own), np.float64)
+                good = np.isfinite(own).all(axis=1) & np.isfinite(out).all(axis=1)
+                if not zero:
+                    good &= own.any(axis=1)
+                rows, out = rows[good], out[good]
+                packed = pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer((np.arange(len(out) + 1) * 8 * dim).astype(np.int32)), pa.py_buffer(out.tobytes())])
+                largest = np.maximum(np.abs(out).max(axis=1, initial=0), 1e-300)  # so that squares don't overflow
+                length = np.linalg.norm(out / largest[:, None], axis=1) * largest
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), dim, np.int32)), pa.array(length), packed], ["vec_id", "dim", "length", "v"])
 
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(read, VECTORS)
-    return rows.groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("x")).select("vec_id", "x.dim", "x.v")
+    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(read, VECTORS)
 
 
-def matrix(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    return np.stack([np.frombuffer(x, dtype) for x in column.to_pylist()])
+def matrix(column: pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
 def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of each query's k best entries: highest score, then least vec."""
-    order = np.lexsort((vec, -score, query))
+    if score.dtype == object:  # integers of any size
+        order = np.array(sorted(range(len(query)), key=lambda i: (query[i], -score[i], vec[i])), np.int64)
+    else:
+        order = np.lexsort((vec, -score, query))
     query = query[order]
     begins = np.flatnonzero(np.diff(query, prepend=query[:1] - 1)) if len(query) else order
     rank = np.arange(len(query)) - np.repeat(begins, np.diff(np.append(begins, len(query))))
@@ -51,6 +64,6 @@ def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.nd
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query_id of found(query_id, vec_id, score), with their rank from 1."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """query_row and the k best of found(query_row, query_id, vec_id, score) for each, with their rank from 1."""
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")
