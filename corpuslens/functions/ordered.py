@@ -6,6 +6,8 @@ and a small table of one row for each block carries what crosses its edge.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +16,19 @@ from ..storage import stored
 BLOCK = 1 << 16
 
 
-def numbered(df: DataFrame, *by: str | Column, name: str = "rk") -> DataFrame:
-    """df with the place of each row in the order of `by`, from 0: range-sorted partitions and their offsets."""
+def numbered(df: DataFrame, *by: str | Column, name: str = "rk", walk: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """df with the place of each row in the order of `by`, from 0: range-sorted partitions and their offsets.
+
+    walk: what is done with the sorted partitions; it keeps their rows and their order.
+    """
     ordered = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    ordered = walk(ordered) if walk else ordered
     kept = stored(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = kept.groupBy("_part").agg(F.count("*").alias("n")).select("_part", before.alias("_offset"))  # a row for each partition
-    return kept.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_offset")
+    out = kept.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_offset")
+    out._stored_at = kept._stored_at
+    return out
 
 
 def _block(index: str, size: int) -> Column:
@@ -28,11 +36,17 @@ def _block(index: str, size: int) -> Column:
 
 
 def running_sum(df: DataFrame, value: str | Column, name: str, index: str = "rk", size: int = BLOCK) -> DataFrame:
-    """df with the sum of value over all rows up to this one."""
+    """df with the sum of value over all rows up to this one.
+
+    Three levels: inside a block, over the blocks of a group of `size` blocks, and over the groups, of which there is one for
+    size * size rows.
+    """
     value = F.col(value) if isinstance(value, str) else value
     df = df.withColumns({"_b": _block(index, size), "_v": value})
-    before = F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = df.groupBy("_b").agg(F.sum("_v").alias("_t")).select("_b", before.alias("_base"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = df.groupBy("_b").agg(F.sum("_v").alias("_t")).withColumn("_g", _block("_b", size))
+    groups = blocks.groupBy("_g").agg(F.sum("_t").alias("_t")).select("_g", before(Window.orderBy("_g"), "_t").alias("_far"))
+    base = blocks.withColumn("_near", before(Window.partitionBy("_g").orderBy("_b"), "_t")).join(groups, "_g").select("_b", (F.col("_near") + F.col("_far")).alias("_base"))
     own = F.sum("_v").over(Window.partitionBy("_b").orderBy(index).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("_own", own).join(base, "_b").withColumn(name, F.col("_base") + F.coalesce("_own", F.lit(0))).drop("_b", "_v", "_own", "_base")
 
@@ -97,6 +111,24 @@ def restored(df: DataFrame, index: str = "rk") -> DataFrame:
     return running_sum(df, "diff", "value", index)
 
 
+def restored_range(samples: DataFrame, df: DataFrame, low: int, high: int, index: str = "rk", size: int = BLOCK) -> DataFrame:
+    """index and value for low..high, both included, of df(index, diff): from the nearest sample before, without the rows of other blocks.
+
+    samples(block, base): the value before each block of `size` rows, as differential_samples() makes them.
+    """
+    first, last = low // size, high // size
+    near = df.where(F.col(index).between(first * size, high)).withColumn("block", _block(index, size))
+    own = F.sum("diff").over(Window.partitionBy("block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0))
+    base = samples.where(F.col("block").between(first, last))
+    return near.withColumn("_own", own).join(base, "block").where(F.col(index) >= low).select(index, (F.col("base") + F.col("_own")).cast("long").alias("value"))
+
+
+def differential_samples(df: DataFrame, index: str = "rk", size: int = BLOCK) -> DataFrame:
+    """block and base, the sum of diff before the block, for each block of `size` rows of df(index, diff)."""
+    sums = df.groupBy(_block(index, size).alias("block")).agg(F.sum("diff").alias("_t"))
+    return running_sum(sums, "_t", "_s", "block", size).select("block", (F.col("_s") - F.col("_t")).alias("base"))
+
+
 def bit_operations(bits: DataFrame, a: str, b: str) -> DataFrame:
     """bits with not_a, and_ab and or_ab of two 64-bit words."""
     x, y = F.col(a), F.col(b)

@@ -9,42 +9,76 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordered import numbered, run_numbers
-from ..functions.text import lcp
-from ..storage import stored
+from ..functions.text import ranked_suffixes
+from ..storage import release, stored
 
 #: Characters of a suffix that are kept as its sort key.
 KEY_LENGTH = 32
 DELIMITER = "\u0000"
 
 
+#: Suffixes that are handed on at once.
+BATCH = 50_000
+_CUT = [("doc_id", pa.int64()), ("pos", pa.int32()), ("key", pa.string()), ("isa", pa.int64()), ("ilcp_b", pa.int32()), ("ilcp_f", pa.int32())]
+
+
+def _keys(text: str, raw: bytes, at: int, n: int, length: int) -> pa.Array:
+    """The `length` characters from each of n places on, at the end fewer."""
+    if len(raw) != len(text):  # characters of several bytes
+        return pa.array([text[i : i + length] for i in range(at, at + n)], pa.string())
+    whole = max(0, min(n, len(raw) - length - at + 1))
+    data = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), length)[at : at + whole].tobytes() if whole else b""
+    rest = [raw[i : i + length] for i in range(at + whole, at + n)]
+    sizes = np.concatenate([[0], np.full(whole, length), list(map(len, rest))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(np.cumsum(sizes, dtype=np.int32)), pa.py_buffer(data + b"".join(rest))])
+
+
 def _cut(key_length: int):
     def cut(batches):
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for at in range(0, len(text or ""), 50_000):  # so a long document is no large batch
-                    n = min(50_000, len(text) - at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc, np.int64)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array([text[i : i + key_length] for i in range(at, at + n)], pa.string())], ["doc_id", "pos", "key"])
+                if not text:
+                    continue
+                raw = text.encode()
+                order, prefix = ranked_suffixes(np.frombuffer(text.encode("utf-32-le"), np.uint32), key_length)
+                isa = np.empty(len(text), np.int64)
+                isa[order] = np.arange(len(text))
+                before = prefix[isa]
+                after = np.append(prefix, 0)[isa + 1].astype(np.int32)
+                for at in range(0, len(text), BATCH):  # so a long document is no large batch
+                    n = min(BATCH, len(text) - at)
+                    own = slice(at, at + n)
+                    columns = [np.full(n, doc, np.int64), np.arange(at, at + n, dtype=np.int32), _keys(text, raw, at, n, key_length), isa[own], before[own], after[own]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, _CUT, strict=True)], [name for name, _ in _CUT])
 
     return cut
 
 
 def suffix_rows(docs: DataFrame, key_length: int = KEY_LENGTH) -> DataFrame:
-    """doc_id, pos, key: a row for each character of each document, with the text from there on, cut to key_length."""
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_cut(key_length), "doc_id long, pos int, key string")
+    """doc_id, pos, key: a row for each character of each document, with the text from there on, cut to key_length.
 
+    Also isa, the place among its document's suffixes by key and place, and ilcp_b and ilcp_f, the characters that the key
+    shares with those of the document's suffixes before and behind it in that order; 0 at the ends. A document is in memory
+    as a few numbers for each character.
+    """
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_cut(key_length), "doc_id long, pos int, key string, isa long, ilcp_b int, ilcp_f int")
 
-def suffix_array(docs: DataFrame, key_length: int = KEY_LENGTH) -> DataFrame:
+
+def suffix_array(docs: DataFrame, key_length: int = KEY_LENGTH, walk=None) -> DataFrame:
     """Suffix rows with rk, their place by key, then document, then position.
 
     Intervals, ranks in a document and tests of LCP values under a pattern's length are exact for patterns of up to
     key_length characters; the order is that of whole suffixes if no text is longer. exact_suffix_array() has no limit.
     """
-    return numbered(suffix_rows(docs, key_length), "key", "doc_id", "pos")
+    cut = stored(suffix_rows(docs, key_length))  # read twice, to sample the ranges and to sort
+    out = numbered(cut, "key", "doc_id", "pos", walk=walk)
+    release(cut)
+    return out
 
 
 def exact_suffix_array(docs: DataFrame, key_length: int = KEY_LENGTH) -> DataFrame:
     """doc_id, pos and rk by whole suffixes, ties by document: prefix doubling, a sort for each doubling of the compared length."""
-    placed = numbered(suffix_rows(docs, key_length), "key", "doc_id", "pos")
+    placed = numbered(suffix_rows(docs, key_length).select("doc_id", "pos", "key"), "key", "doc_id", "pos")
     ranked, length = stored(run_numbers(placed, "key", "class").select("doc_id", "pos", "rk", "class")), key_length
     while True:
         later = ranked.select("doc_id", (F.col("pos") - length).alias("pos"), F.col("class").alias("next"))
@@ -69,44 +103,65 @@ def bwt_runs(transformed: DataFrame) -> DataFrame:
 
 
 def with_neighbours(suffixes: DataFrame) -> DataFrame:
-    """isa (place among its document's suffixes), prev_rk and next_rk (its document's neighbours; null at the ends), ilcp_b and ilcp_f.
+    """prev_rk and next_rk (of its document's neighbours; null at the ends) and occ, how often its document stands before it in the document array.
 
-    ilcp_b and ilcp_f are the common prefix with the document's previous and next suffix; 0 at the ends.
+    occ is counted in the order of the whole collection, isa in that of the document alone; they agree.
     """
     own = Window.partitionBy("doc_id").orderBy("rk")
-    near = suffixes.withColumns({"isa": F.row_number().over(own).cast("long") - 1, "prev_rk": F.lag("rk").over(own), "next_rk": F.lead("rk").over(own), "_p": F.lag("key").over(own)})
-    return near.withColumn("ilcp_b", lcp("_p", "key")).withColumn("ilcp_f", F.coalesce(F.lead("ilcp_b").over(own), F.lit(0))).drop("_p")
+    return suffixes.withColumns({"occ": F.row_number().over(own).cast("long") - 1, "prev_rk": F.lag("rk").over(own), "next_rk": F.lead("rk").over(own)})
 
 
-def run_minima(values: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """The least value of the merged run that each row is in.
+def run_starts(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the merged runs begin, and the least value of each.
 
     Greedy from the first row: a run is either the longest stretch of one value, or, if that is a single row, the longest
     stretch of one document.
     """
     n = len(values)
+    if not n:
+        return np.zeros(0, np.int64), values
     ends = lambda x: np.append(np.flatnonzero(x[1:] != x[:-1]) + 1, n)[np.cumsum(np.append(False, x[1:] != x[:-1]))]
     by_value, by_doc, begins, i = ends(values).tolist(), ends(docs).tolist(), [], 0
     while i < n:
         begins.append(i)
         i = by_value[i] if by_value[i] > i + 1 else by_doc[i]
     begins = np.array(begins)
-    return np.repeat(np.minimum.reduceat(values, begins), np.diff(np.append(begins, n)))
+    return begins, np.minimum.reduceat(values, begins)
 
 
-def with_merged_runs(rows: DataFrame, size: int = 1 << 16) -> DataFrame:
-    """rows with min_b and min_f: the least ilcp_b and ilcp_f of the merged run that a row is in.
+def run_minima(values: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The least value of the merged run that each row is in."""
+    begins, least = run_starts(values, docs)
+    return np.repeat(least, np.diff(np.append(begins, len(values))))
+
 
-    The merging depends on the order, so each block of rows is walked once; runs end at block edges, which changes no
+def with_merged_runs(rows: DataFrame) -> DataFrame:
+    """rows, sorted in each partition, with min_b and min_f: the least ilcp_b and ilcp_f of the merged run that a row is in.
+
+    The merging depends on the order, so rows are walked batch by batch; runs end at the edges of batches, which changes no
     answer, as a run only needs a bound on its values.
     """
 
+    def walk(batches):
+        for batch in batches:
+            docs = batch.column("doc_id").to_numpy()
+            for value, name in (("ilcp_b", "min_b"), ("ilcp_f", "min_f")):
+                batch = batch.append_column(name, pa.array(run_minima(batch.column(value).to_numpy(), docs)))
+            yield batch
+
+    return rows.mapInArrow(walk, T.StructType([*rows.schema.fields, T.StructField("min_b", T.IntegerType()), T.StructField("min_f", T.IntegerType())]))
+
+
+def merged_runs(rows: DataFrame, value: str = "ilcp_b") -> DataFrame:
+    """run_id, start, len, value: the merged runs over rows(rk, doc_id, value) as one sequence, and the least value of each.
+
+    The greedy merging of run_minima() goes from run to run, so one task walks all rows in order: for reports, not for search.
+    """
+
     def walk(part: pa.Table) -> pa.Table:
         part = part.sort_by("rk")
-        docs = part.column("doc_id").to_numpy()
-        for value, name in (("ilcp_b", "min_b"), ("ilcp_f", "min_f")):
-            part = part.append_column(name, pa.array(run_minima(part.column(value).to_numpy(), docs)))
-        return part.drop_columns("_b")
+        begins, least = run_starts(part.column(value).to_numpy(), part.column("doc_id").to_numpy())
+        start, size = part.column("rk").to_numpy()[begins], np.diff(np.append(begins, part.num_rows))
+        return pa.table([pa.array(np.arange(len(begins))), pa.array(start), pa.array(size), pa.array(least.astype(np.int64))], ["run_id", "start", "len", "value"])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("min_b", T.IntegerType()), T.StructField("min_f", T.IntegerType())])
-    return rows.withColumn("_b", F.floor(F.col("rk") / size)).repartitionByRange("_b").groupBy("_b").applyInArrow(walk, schema)
+    return rows.select("rk", "doc_id", value, F.lit(0).alias("one")).groupBy("one").applyInArrow(lambda part: walk(part), "run_id long, start long, len long, value long")

@@ -6,23 +6,24 @@ of the part table and all texts of the benchmark table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..operators import grammar
-from ..operators.blocks import block_table
-from ..operators.suffixes import bwt, bwt_runs, exact_suffix_array, suffix_array, with_neighbours
+from ..operators.blocks import block_table, node_lists, sampled_nodes
+from ..operators.compressed import expanded, first_last_rows, interval_cover
+from ..operators.suffixes import bwt, bwt_runs, exact_suffix_array, merged_runs
 from ..sources.artifacts import info, printed_results, space
 from ..sources.collections import SEQUENCE_BREAK, borders, patterns_of, sample_patterns
-from ..storage import shared_folder, stored
 from . import strategies
-from .index import DocIndex, build
+from .index import DocIndex, build, index_of, index_rows
 
 PATTERNS = ["the ", "aa", "ion of ", "enen", "heoron", "Licensed under the Apache License, Version 2.0.", "zzzz", "anan", "the "]
 NAME_PATTERNS = ["r", "ring", "e wi", "re", "zzz", "bolt"]
-NAME_KEY = 64
+NAME_KEY, NAME_STRETCH = 64, 4096
 _indexes: dict[tuple, DocIndex] = {}
+_name_indexes: dict[tuple, DocIndex] = {}
 _arrays: dict[tuple, DataFrame] = {}
 
 
@@ -47,8 +48,8 @@ def document_index(spark: SparkSession, sf_dir: str) -> DocIndex:
 
 
 def name_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suffix rows of the part names, with neighbours; keys hold whole suffixes."""
-    return _once(_arrays, spark, sf_dir, lambda: stored(with_neighbours(suffix_array(_names(spark, sf_dir), NAME_KEY))))
+    """Index rows of the part names; keys hold whole suffixes."""
+    return _once(_arrays, spark, sf_dir, lambda: index_rows(_names(spark, sf_dir), NAME_KEY))
 
 
 def _listed(strategy: str):
@@ -67,17 +68,17 @@ def doc_freq_conversations(spark, sf_dir):
     return strategies.scan(turns.select("doc_id", F.array_join(F.col("t.text"), SEQUENCE_BREAK).alias("text")), patterns_of(spark, PATTERNS))
 
 
-def _name_index(spark, sf_dir) -> DocIndex:
-    rows = name_rows(spark, sf_dir)
-    return DocIndex(_names(spark, sf_dir), rows, rows, NAME_KEY)
+def name_index(spark, sf_dir) -> DocIndex:
+    """Over the part names, with stretches of 4,096 rows, so there are several."""
+    return _once(_name_indexes, spark, sf_dir, lambda: index_of(_names(spark, sf_dir), name_rows(spark, sf_dir), NAME_KEY, stretch=NAME_STRETCH))
 
 
 def sa_interval(spark, sf_dir):
-    return strategies.intervals(_name_index(spark, sf_dir), patterns_of(spark, NAME_PATTERNS))
+    return strategies.intervals(name_index(spark, sf_dir), patterns_of(spark, NAME_PATTERNS))
 
 
 def search_interval(spark, sf_dir):
-    return strategies.search_interval(_name_index(spark, sf_dir), 100, 4999)
+    return strategies.search_interval(name_index(spark, sf_dir), 100, 4999)
 
 
 def _bwt(spark, sf_dir):
@@ -113,9 +114,65 @@ def bit_operations(spark, sf_dir):
 
 
 def index_space(spark, sf_dir):
-    folder = f"{shared_folder(spark)}/space-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    document_index(spark, sf_dir).save(folder)
-    return space(spark, folder, ["docs", "rows", "blocks", "parameters"])
+    """name, rows and bytes of the values of the tables of the name index that SQL can make as well."""
+    index = name_index(spark, sf_dir)
+    return space({"docs": index.docs, "rows": index.rows.select("rk", "doc_id", "pos", "key", "isa", "occ", "ilcp_b", "ilcp_f", "block")})
+
+
+RANGES = [(0, 5, 4100), (1, 4095, 4096), (2, 700, 17000), (3, 9, 8)]
+
+
+def _ranges(spark):
+    return spark.createDataFrame(RANGES, "pattern_id long, sp long, ep long").where("sp <= ep")
+
+
+def da_expand(spark, sf_dir):
+    """The document array in some ranges, expanded from its grammars."""
+    return expanded(_ranges(spark), name_index(spark, sf_dir).grammars, NAME_STRETCH)
+
+
+def da_cover(spark, sf_dir):
+    """Rows that the covers of some ranges span, and whether their parts follow each other."""
+    parts = interval_cover(_ranges(spark), name_index(spark, sf_dir).grammars, NAME_STRETCH)
+    after = F.lead("rk").over(Window.partitionBy("pattern_id").orderBy("rk"))
+    joined = parts.withColumn("ok", F.coalesce(after, F.col("rk") + F.col("span_len")) == F.col("rk") + F.col("span_len"))
+    return joined.groupBy("pattern_id").agg(F.min("rk").alias("sp"), F.max(F.col("rk") + F.col("span_len") - 1).alias("ep"), F.min(F.col("ok").cast("int")).alias("gapless"))
+
+
+def da_first_last(spark, sf_dir):
+    """First and last row of each document in some ranges, from the grammars."""
+    return first_last_rows(_ranges(spark), name_index(spark, sf_dir).grammars, NAME_STRETCH)
+
+
+def grammar_space(spark, sf_dir):
+    """Stretches whose grammar is not larger than they are, in symbols."""
+    sizes = name_index(spark, sf_dir).grammars.select("stretch", (2 * F.size("left") + F.size("roots")).alias("symbols"))
+    return sizes.select("stretch", (F.col("symbols") <= NAME_STRETCH).cast("int").alias("compressed"))
+
+
+def sa_range(spark, sf_dir):
+    """Places 700 to 17,000 of the suffix array, from its differences and the nearest samples."""
+    index = name_index(spark, sf_dir)
+    diff = ordered.differences(index.rows.select("rk", "pos"), "pos").select("rk", "diff")
+    found = ordered.restored_range(ordered.differential_samples(diff, size=1024), diff, 700, 17000, size=1024)
+    return found.join(strategies.access(index, 700, 16301).select("rk", "doc_id"), "rk").select("rk", "doc_id", F.col("value").alias("pos"))
+
+
+def sa_access(spark, sf_dir):
+    index = name_index(spark, sf_dir)
+    return strategies.access(index, 4242).unionByName(strategies.access(index, 100, 50))
+
+
+def places_in_documents(spark, sf_dir):
+    pairs = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("s1"), (F.length("p_name") - 1).alias("s2"))
+    return strategies.places_in_documents(name_index(spark, sf_dir), pairs)
+
+
+def node_sample(spark, sf_dir):
+    """The sampled nodes of the name index with blocks of 8 rows, and the lengths of their lists."""
+    rows = name_rows(spark, sf_dir).withColumn("block", F.floor(F.col("rk") / 8))
+    sampled = sampled_nodes(rows, rows.count(), 8, storing_factor=1)
+    return node_lists(rows, sampled, 8).groupBy("level", "node").agg(F.count("*").alias("docs"), F.sum("freq").alias("suffixes"))
 
 
 # The grammar of the tests, four terminals and ten rules.
@@ -169,8 +226,18 @@ QUERIES = {
     "search_interval": search_interval,
     "doc_isa": _rows("doc_id", "pos", "isa"),
     "neighbours": _rows("rk", "prev_rk", "next_rk"),
-    "occ_rank": lambda spark, sf_dir: name_rows(spark, sf_dir).select("rk", "doc_id", F.col("isa").alias("occ_rank")),
+    "occ_rank": lambda spark, sf_dir: name_rows(spark, sf_dir).select("rk", "doc_id", F.col("occ").alias("occ_rank")),
     "ilcp": _rows("rk", "ilcp_b", "ilcp_f"),
+    "ilcp_runs_forward": lambda spark, sf_dir: ordered.runs(name_rows(spark, sf_dir).select("rk", "ilcp_f"), "ilcp_f"),
+    "cilcp_runs": lambda spark, sf_dir: merged_runs(name_rows(spark, sf_dir)),
+    "sa_range": sa_range,
+    "sa_access": sa_access,
+    "places_in_documents": places_in_documents,
+    "da_expand": da_expand,
+    "da_cover": da_cover,
+    "da_first_last": da_first_last,
+    "grammar_space": grammar_space,
+    "node_sample": node_sample,
     "ilcp_runs": lambda spark, sf_dir: ordered.runs(name_rows(spark, sf_dir).select("rk", "ilcp_b"), "ilcp_b"),
     "da_rle": lambda spark, sf_dir: ordered.runs(name_rows(spark, sf_dir).select("rk", "doc_id"), "doc_id"),
     "bwt": lambda spark, sf_dir: _bwt(spark, sf_dir).select("rk", "ch"),
@@ -225,6 +292,21 @@ g AS (SELECT *, sum(head) OVER (ORDER BY rk) - 1 AS r FROM h)
 SELECT CAST(r AS BIGINT) AS run_id, min(rk) AS start, count(*) AS len, CAST(min(v) AS BIGINT) AS value FROM g GROUP BY r"""
 
 
+def _nodes_sql(block: int, arity: int, factor: int, levels: int) -> str:
+    """The sampled nodes, from the leaves up: a list is stored where what is read without it is `factor` times longer."""
+    sql = _SUFFIXES + f", c0 AS (SELECT rk // {block} AS node, count(*) AS cost FROM s GROUP BY rk // {block})"
+    for k in range(1, levels + 1):
+        span = block * arity**k
+        sql += f""", d{k} AS (SELECT rk // {span} AS node, count(DISTINCT doc_id) AS docs, count(*) AS suffixes FROM s GROUP BY rk // {span}),
+u{k} AS (SELECT node // {arity} AS node, sum(cost) AS cost FROM c{k - 1} GROUP BY node // {arity}),
+v{k} AS (SELECT u{k}.node, docs, suffixes, cost > {factor} * docs AS pays, CASE WHEN cost > {factor} * docs THEN docs ELSE cost END AS cost FROM u{k} JOIN d{k} USING (node)),
+c{k} AS (SELECT node, cost FROM v{k})"""
+    return sql + " UNION ALL ".join(f" SELECT CAST({k} AS INT) AS level, node, docs, suffixes FROM v{k} WHERE pays" for k in range(1, levels + 1))
+
+
+_NODES = _nodes_sql(8, 4, 1, 6)
+_SPACE = _SUFFIXES + """SELECT 'docs' AS name, count(*) AS rows, CAST(sum(8 + strlen(p_name)) AS BIGINT) AS bytes FROM part
+UNION ALL SELECT 'rows', count(*), CAST(sum(8 + 8 + 4 + strlen(key) + 8 + 8 + 4 + 4 + 8) AS BIGINT) FROM s"""
 _DIFF = _SUFFIXES + ", d AS (SELECT rk, pos, pos - coalesce(lag(pos) OVER (ORDER BY rk), 0) AS diff FROM l)"
 _EXPANSION = f"""WITH RECURSIVE rules(var, l, r) AS (VALUES {_values(GRAMMAR)}),
 syms(var) AS (SELECT var FROM rules UNION SELECT unnest(range(1, {SIGMA + 1}))),
@@ -253,6 +335,16 @@ SELECT doc_id, pos, row_number() OVER (ORDER BY substr(text, pos + 1), doc_id, p
     "occ_rank": _SUFFIXES + "SELECT rk, doc_id, isa AS occ_rank FROM n",
     "ilcp": _SUFFIXES + "SELECT rk, ilcp_b, ilcp_f FROM l",
     "ilcp_runs": _runs_sql("ilcp_b"),
+    "ilcp_runs_forward": _runs_sql("ilcp_f"),
+    "sa_range": _SUFFIXES + "SELECT rk, doc_id, CAST(pos AS BIGINT) AS pos FROM s WHERE rk BETWEEN 700 AND 17000",
+    "sa_access": _SUFFIXES + "SELECT rk, doc_id, pos FROM s WHERE rk = 4242 OR rk BETWEEN 100 AND 149",
+    "places_in_documents": _SUFFIXES + "SELECT a.doc_id, a.pos AS s1, b.pos AS s2, a.isa AS isa_1, b.isa AS isa_2 FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.pos = 0 AND b.pos = length(a.text) - 1",
+    "da_expand": _SUFFIXES + f", r(pattern_id, sp, ep) AS (VALUES {_values(RANGES)}) SELECT pattern_id, rk, doc_id FROM s JOIN r ON rk BETWEEN sp AND ep",
+    "da_cover": _SUFFIXES + f", r(pattern_id, sp, ep) AS (VALUES {_values(RANGES)}) SELECT pattern_id, min(rk) AS sp, max(rk) AS ep, 1 AS gapless FROM s JOIN r ON rk BETWEEN sp AND ep GROUP BY pattern_id",
+    "da_first_last": _SUFFIXES + f", r(pattern_id, sp, ep) AS (VALUES {_values(RANGES)}) SELECT pattern_id, doc_id, min(rk) AS first_rk, max(rk) AS last_rk FROM s JOIN r ON rk BETWEEN sp AND ep GROUP BY pattern_id, doc_id",
+    "grammar_space": _SUFFIXES + "SELECT DISTINCT rk // 4096 AS stretch, 1 AS compressed FROM s",
+    "node_sample": _NODES,
+    "index_space": _SPACE,
     "da_rle": _runs_sql("doc_id"),
     "bwt": _SUFFIXES + "SELECT rk, CASE WHEN pos = 0 THEN '' ELSE substr(text, pos, 1) END AS ch FROM s",
     "bwt_runs": _SUFFIXES + """, b AS (SELECT rk, pos, CASE WHEN pos = 0 THEN '' ELSE substr(text, pos, 1) END AS ch FROM s),

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import occurrences
 from ..operators.blocks import covered
+from ..operators.compressed import first_last_rows
+from ..storage import stored
 from .index import DocIndex
 
 #: Most pattern characters that are sent to every task of a scan; with more, patterns are scanned in lots of that size.
@@ -44,30 +46,27 @@ def scan(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def matches(index: DocIndex, patterns: DataFrame) -> DataFrame:
-    """The index rows that begin with each pattern, with pattern_id and len: a hash join on the key's prefix for each pattern length.
+    """The index rows that begin with each pattern, with pattern_id and len: one hash join on as many first characters as all patterns have.
 
-    A pattern longer than the keys is looked up by its first characters, and the rest is compared in the text.
+    A pattern longer than the keys is looked up by its first characters, and the rest is compared in the text. Patterns of up
+    to SCAN_CHARACTERS together, which is counted before, go to all tasks.
     """
-    lengths = sorted(r[0] for r in checked(patterns).select(F.length("pattern")).distinct().collect())
-    few = [r[0] for r in patterns.select(F.left("pattern", F.lit(index.key_length))).distinct().limit(PUSHED + 1).collect()]
-    rows = index.rows
-    if len(few) <= PUSHED:
-        rows = rows.where(reduce(or_, (F.col("key").startswith(p) for p in few), F.lit(False)))
-    parts = []
-    for n in lengths:
-        own = patterns.where(F.length("pattern") == n)
-        if n <= index.key_length:
-            parts.append(rows.join(own, F.left("key", F.lit(n)) == F.col("pattern")))
-        else:
-            near = rows.where(F.length("key") == index.key_length).join(own, F.col("key") == F.left("pattern", F.lit(index.key_length)))
-            whole = near.join(index.docs, "doc_id").where(F.substring(F.col("text"), F.col("pos") + 1, F.lit(n)) == F.col("pattern"))
-            parts.append(whole.select(*index.rows.columns, *own.columns))
-    if not parts:
-        return index.rows.limit(0).join(patterns.limit(0)).withColumn("len", F.length("pattern"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("len", F.length("pattern"))
+    size = F.length("pattern")
+    seen = checked(patterns).agg(F.min(size).alias("least"), F.max(size).alias("most"), F.sum(size).alias("all")).first()
+    if seen["all"] is None:
+        return index.rows.limit(0).join(patterns.limit(0)).withColumn("len", size)
+    heads = [r[0] for r in patterns.select(F.left("pattern", F.lit(index.key_length))).distinct().limit(PUSHED + 1).collect()]
+    rows, shared = index.rows, F.lit(min(seen["least"], index.key_length))
+    if len(heads) <= PUSHED:
+        rows = rows.where(reduce(or_, (F.col("key").startswith(p) for p in heads), F.lit(False)))
+    own = patterns.withColumn("_head", F.left("pattern", F.lit(index.key_length))).withColumn("len", size)
+    own = F.broadcast(own) if seen["all"] <= SCAN_CHARACTERS else own
+    near = rows.join(own, (F.left("key", shared) == F.left("_head", shared)) & F.startswith("key", "_head")).drop("_head")
+    if seen["most"] <= index.key_length:
+        return near
+    columns, long = near.columns, F.col("len") > index.key_length
+    whole = near.where(long).join(index.docs, "doc_id").where(F.substring(F.col("text"), F.col("pos") + 1, F.col("len")) == F.col("pattern"))
+    return near.where(~long).unionByName(whole.select(*columns))
 
 
 def locate(index: DocIndex, patterns: DataFrame) -> DataFrame:
@@ -80,65 +79,79 @@ def intervals(index: DocIndex, patterns: DataFrame) -> DataFrame:
     return matches(index, patterns).groupBy("pattern_id").agg(F.min("rk").alias("sp"), F.max("rk").alias("ep"))
 
 
-def _spread(witnesses: DataFrame) -> DataFrame:
+def _spread(witnesses: DataFrame, place: str) -> DataFrame:
     """Frequencies from the outermost occurrences of each document: their places in the document's own order."""
-    return witnesses.groupBy("pattern_id", "doc_id").agg((F.max("isa") - F.min("isa") + 1).alias("freq"))
+    return witnesses.groupBy("pattern_id", "doc_id").agg((F.max(place) - F.min(place) + 1).alias("freq"))
 
 
 def _suffix(index, patterns):
     return matches(index, patterns).groupBy("pattern_id", "doc_id").agg(F.count("*").alias("freq"))
 
 
-def _sada(index, patterns):
-    found = matches(index, patterns)
-    bounds = found.groupBy("pattern_id").agg(F.min("rk").alias("sp"), F.max("rk").alias("ep"))
-    first = F.col("prev_rk").isNull() | (F.col("prev_rk") < F.col("sp"))
-    last = F.col("next_rk").isNull() | (F.col("next_rk") > F.col("ep"))
-    return _spread(found.join(bounds, "pattern_id").where(first | last))
+def _sada(place):
+    def plan(index, patterns):
+        found = matches(index, patterns)
+        bounds = found.groupBy("pattern_id").agg(F.min("rk").alias("sp"), F.max("rk").alias("ep"))
+        first = F.col("prev_rk").isNull() | (F.col("prev_rk") < F.col("sp"))
+        last = F.col("next_rk").isNull() | (F.col("next_rk") > F.col("ep"))
+        return _spread(found.join(bounds, "pattern_id").where(first | last), place)
 
+    return plan
 
-def _ilcp(index, patterns):
-    return _spread(matches(index, patterns).where((F.col("ilcp_b") < F.col("len")) | (F.col("ilcp_f") < F.col("len"))))
 
+def _under(before, after):
+    """Listing by rows whose common prefix with the document's neighbour is shorter than the pattern."""
 
-def _cilcp(index, patterns):
-    return _spread(matches(index, patterns).where((F.col("min_b") < F.col("len")) | (F.col("min_f") < F.col("len"))))
+    def listing(place):
+        return lambda index, patterns: _spread(matches(index, patterns).where((F.col(before) < F.col("len")) | (F.col(after) < F.col("len"))), place)
+
+    return listing
+
+
+_ilcp, _cilcp = _under("ilcp_b", "ilcp_f"), _under("min_b", "min_f")
 
 
 def _short(index: DocIndex, patterns: DataFrame, plan) -> DataFrame:
-    """Plans that only know intervals hold for patterns up to the key length; longer ones are counted one by one."""
+    """Plans that only know intervals hold for patterns up to the key length; the interval of a longer one isn't known, and its occurrences are counted one by one."""
     long = patterns.where(F.length("pattern") > index.key_length)
     own = plan(patterns.where(F.length("pattern") <= index.key_length))
     return own if long.isEmpty() else own.unionByName(_suffix(index, long))
 
 
-def _gcda(index, patterns):
-    def plan(own):
-        parts = covered(intervals(index, own), index.rows, index.blocks, index.block_size)
-        return parts.groupBy("pattern_id", "doc_id").agg((F.max("last_isa") - F.min("first_isa") + 1).alias("freq"))
+def _gcda(place):
+    """First and last row of each document in the interval from the grammars of the document array, and their places in the document's order."""
 
-    return _short(index, patterns, plan)
+    def plan(index, patterns):
+        def listed(own):
+            ends = stored(first_last_rows(intervals(index, own), index.grammars, index.stretch))
+            rows = ends.select("pattern_id", "doc_id", F.explode(F.array("first_rk", "last_rk")).alias("rk"))
+            return _spread(rows.join(index.rows.select("rk", place), "rk"), place)
+
+        return _short(index, patterns, listed)
+
+    return plan
 
 
 def _preagg(index, patterns):
     def plan(own):
-        return covered(intervals(index, own), index.rows, index.blocks, index.block_size).groupBy("pattern_id", "doc_id").agg(F.sum("freq").alias("freq"))
+        parts = covered(intervals(index, own), index.rows, index.nodes, index.sampled, index.block_size)
+        return parts.groupBy("pattern_id", "doc_id").agg(F.sum("freq").alias("freq"))
 
     return _short(index, patterns, plan)
 
 
-#: In a document, the order of suffixes is that of the whole collection, so a suffix's rank among its document's suffixes and
-#: the number of its document's suffixes before it are one column, isa; plans named _isa and _rank differ in name only.
+#: _isa plans take a suffix's place among its document's own suffixes, which each document gave by itself; _rank plans take how
+#: often the document stands before it in the document array, counted over the whole collection.
 STRATEGIES = {
     "suffix": _suffix,
-    "sada_isa": _sada,
-    "sada_rank": _sada,
-    "ilcp_isa": _ilcp,
-    "ilcp_rank": _ilcp,
-    "cilcp_isa": _cilcp,
-    "cilcp_rank": _cilcp,
-    "gcda_isa": _gcda,
-    "gcda_rank": _gcda,
+    "sada_isa": _sada("isa"),
+    "sada_rank": _sada("occ"),
+    "ilcp_isa": _ilcp("isa"),
+    "ilcp_rank": _ilcp("occ"),
+    "cilcp_isa": _cilcp("isa"),
+    "cilcp_rank": _cilcp("occ"),
+    "gcda_isa": _gcda("isa"),
+    "gcda_rank": _gcda("occ"),
     "preagg": _preagg,
 }
 
@@ -158,6 +171,22 @@ def search_interval(index: DocIndex, sp: int, ep: int) -> DataFrame:
     return rows.where(ends).groupBy("doc_id").agg((F.max("isa") - F.min("isa") + 1).alias("freq"))
 
 
+def access(index: DocIndex, i: int, n: int = 1) -> DataFrame:
+    """rk, doc_id and pos of the n suffixes from place i on."""
+    return index.rows.where(F.col("rk").between(i, i + n - 1)).select("rk", "doc_id", "pos")
+
+
+def access_with_rank(index: DocIndex, i: int, n: int = 1) -> DataFrame:
+    """rk, doc_id and occ (how often the document stands before) of the n suffixes from place i on."""
+    return index.rows.where(F.col("rk").between(i, i + n - 1)).select("rk", "doc_id", "occ")
+
+
+def places_in_documents(index: DocIndex, pairs: DataFrame) -> DataFrame:
+    """pairs(doc_id, s1, s2) of two positions of a document with isa_1 and isa_2, their places among its suffixes."""
+    own = lambda s, isa: index.rows.select("doc_id", F.col("pos").alias(s), F.col("isa").alias(isa))
+    return pairs.join(own("s1", "isa_1"), ["doc_id", "s1"]).join(own("s2", "isa_2"), ["doc_id", "s2"])
+
+
 def as_maps(found: DataFrame) -> DataFrame:
     """pattern_id and freqs, a map from doc_id to freq."""
     return found.groupBy("pattern_id").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "freq"))).alias("freqs"))

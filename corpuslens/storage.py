@@ -42,15 +42,15 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as a table and read back: cuts the lineage and survives lost executors.
+def stored(df: DataFrame, **options: object) -> DataFrame:
+    """df, written as a table (with Parquet options) and read back: cuts the lineage and survives lost executors.
 
     The shuffle files of the job that writes it go as it ends; nothing else reads them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corpuslens-{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

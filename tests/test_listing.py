@@ -18,7 +18,7 @@ def found(df):
 
 @pytest.fixture(scope="module")
 def index(spark):
-    return build(spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string"), key_length=8, block_size=4)
+    return build(spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string"), key_length=8, block_size=4, storing_factor=1, stretch=16)
 
 
 @pytest.mark.parametrize("strategy", ["scan", *strategies.STRATEGIES])
@@ -64,7 +64,7 @@ def test_maps(spark, index):
 def test_saved_index(spark, index, tmp_path):
     index.save(str(tmp_path))
     again = DocIndex.open(spark, str(tmp_path))
-    assert again.key_length == 8
+    assert again.key_length == 8 and again.stretch == 16
     assert found(strategies.search(again, patterns_of(spark, PATTERNS), "sada_isa")) == brute(DOCS, PATTERNS)
     with pytest.raises(FileNotFoundError):
         DocIndex.open(spark, str(tmp_path / "none"))

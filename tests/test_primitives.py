@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from corpuslens.functions import ordered
-from corpuslens.functions.text import common_prefix
+from corpuslens.functions.text import ranked_suffixes
 from corpuslens.operators.suffixes import exact_suffix_array, run_minima
 
 VALUES = [random.Random(3).randrange(4) for _ in range(100)]
@@ -51,10 +51,15 @@ def test_bits(spark):
     assert (r.not_a, r.and_ab, r.or_ab) == (~12, 8, 14)
 
 
-def test_common_prefix():
-    for a in ("", "a", "ab", "aab", "aaaa", "aaab"):
-        for b in ("", "a", "ab", "aab", "aaaa", "b"):
-            assert common_prefix(a, b) == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+def test_suffixes_of_one_text():
+    rng = np.random.default_rng(1)
+    texts = ["", "a", "aaaaaaa", "banana banana"] + ["".join(rng.choice(list("ab"), n)) for n in range(2, 60)]
+    for length in (1, 3, 8, 33, 64):
+        for t in texts:
+            order, prefix = ranked_suffixes(np.frombuffer(t.encode("utf-32-le"), np.uint32), length)
+            assert order.tolist() == sorted(range(len(t)), key=lambda i: (t[i : i + length], i))
+            keys = [t[i : i + length] for i in order.tolist()]
+            assert prefix.tolist()[1:] == [next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(keys, keys[1:], strict=False)]
 
 
 def test_run_minima():

@@ -1,4 +1,7 @@
+import struct
+
 from corpuslens.functions.text import occurrences
+from corpuslens.operators import grammar
 from corpuslens.sources import artifacts, collections
 from corpuslens.streaming.listing import stream_listing, stream_totals
 from pyspark.sql import functions as F
@@ -43,12 +46,33 @@ def test_printed_results_and_space(spark, tmp_path):
     artifacts.print_results(found, patterns, str(tmp_path / "out"))
     assert [r.value for r in artifacts.printed_results(found, patterns).collect()] == ["a", "  0:3", "  1:1", "b", "  1:1"]
     artifacts.save({"docs": docs}, str(tmp_path / "t"))
-    sizes = artifacts.space(spark, str(tmp_path / "t"), ["docs"])
+    sizes = artifacts.file_space(spark, str(tmp_path / "t"), ["docs"])
     assert sizes.first().bytes > 0
+    odd = spark.createDataFrame([(1, "é", [1, 2], None), (2, None, None, 1.0)], "a long, b string, c array<int>, d double")
+    assert [tuple(r) for r in artifacts.space({"odd": odd}).collect()] == [("odd", 2, 8 + 2 + 8 + 8 + 8)]
     artifacts.write_space(sizes, str(tmp_path / "space"))
     assert spark.read.csv(str(tmp_path / "space"), header=True).count() == 1
 
 
+def test_numbers_and_grammars_in_files(spark, tmp_path):
+    values = [5, -7, 2**31 - 1, 0, 3] * 40
+    artifacts.write_numbers(spark.createDataFrame(list(enumerate(values)), "i long, value long").repartition(3), str(tmp_path / "n"))
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "n").glob("part-*")))
+    assert raw == struct.pack(f"<{len(values)}i", *values)
+    assert [r.value for r in artifacts.read_numbers(spark, str(tmp_path / "n")).orderBy("i").collect()] == values
+    rules = [(4, 1, 2), (5, 4, 4), (6, 5, 3)]
+    (tmp_path / "g.R").write_bytes(struct.pack("<7i", 4, 1, 2, 4, 4, 5, 3))
+    (tmp_path / "g.C").write_bytes(struct.pack("<3i", 6, 3, 5))
+    sigma, read, sequence = artifacts.read_grammar(spark, str(tmp_path / "g.R"), str(tmp_path / "g.C"))
+    assert sigma == 3 and sorted(tuple(r) for r in read.collect()) == rules
+    spans = grammar.occurrences(read, sigma).select("var", "span_len").distinct()
+    roots = grammar.laid_out(sequence, spans).select("var", F.col("off").alias("start"))
+    assert [r.term for r in grammar.expand(read, roots, spans, 0, 10).orderBy("off").collect()] == [1, 2, 1, 2, 3, 3, 1, 2, 1, 2]
+    artifacts.write_grammar(sigma, read, sequence, str(tmp_path / "h.R"), str(tmp_path / "h.C"))
+    again = artifacts.read_grammar(spark, str(tmp_path / "h.R"), str(tmp_path / "h.C"))
+    assert again[0] == 3 and sorted(tuple(r) for r in again[1].collect()) == rules and again[2].orderBy("root_pos").collect() == sequence.orderBy("root_pos").collect()
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([(0, "aaaa"), (1, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     docs = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
