@@ -174,8 +174,8 @@ class Scanner:
         self.notices = []
         for name, (text, must) in notices.items():
             notice = words_of(text.encode())
-            self.notices.append((name, notice, [w.encode() for w in must.split()], _masks(notice), _masks(notice[::-1])))
-        self.any = {must[0] for _, _, must, _, _ in self.notices}
+            self.notices.append((name, notice, Counter(notice), [w.encode() for w in must.split()], _masks(notice), _masks(notice[::-1])))
+        self.any = {must[0] for _, _, _, must, _, _ in self.notices}
 
     def scan(self, text: bytes, coverage: float = COVERAGE, density: float = DENSITY) -> list[tuple[str, float, int, int, int]]:
         """License, coverage, first word, past the last word, and number of passages; for each licence found, its best passage."""
@@ -183,7 +183,7 @@ class Scanner:
         if self.any.isdisjoint(words):
             return []
         has, out = set(words), []
-        for name, notice, must, masks, back in self.notices:
+        for name, notice, number, must, masks, back in self.notices:
             if not has.issuperset(must):
                 continue
             found, begin, tried = [], 0, 0
@@ -194,7 +194,7 @@ class Scanner:
                 pairs = _dense(align(words[low : p + len(notice) + SLACK], notice), len(notice))
                 if len(pairs) == len(notice) and pairs[-1][0] - pairs[0][0] < len(notice) and 0 <= p - low - pairs[0][0] < len(notice):
                     first, last = low + pairs[0][0], low + pairs[-1][0] + 1
-                elif bounds := self._around(words, p, begin, tried, notice, must, masks, back, coverage, density):
+                elif bounds := self._around(words, p, begin, tried, notice, number, must, masks, back, coverage, density):
                     first, last, pairs = bounds
                 else:
                     tried = p + 1
@@ -207,7 +207,7 @@ class Scanner:
         return out
 
     @staticmethod
-    def _around(words, p, begin, tried, notice, must, masks, back, coverage, density):
+    def _around(words, p, begin, tried, notice, number, must, masks, back, coverage, density):
         """First word, past the last word and matched places of the first passage with word p, from `begin` on, that reaches the limits.
 
         Starts before `tried` are known to give none.
@@ -216,6 +216,8 @@ class Scanner:
         span = int(size / density + 1e-9)  # beyond it even a whole match is too thin
         base = max(begin, p - span + 1)
         area = words[base : p + span]
+        if sum((Counter(area) & number).values()) < coverage * size:  # too few of the notice's words in any order
+            return None
         known = list(accumulate((w in masks for w in area), initial=0))
         where = [[i for i, w in enumerate(area) if w == m] for m in must[1:]]
         for start in range(max(0, tried - base), p - base + 1):
@@ -276,11 +278,14 @@ def _scan(notices):
 def license_scan(docs: DataFrame, notices: dict[str, tuple[str, str]] = NOTICES) -> DataFrame:
     """A row for each row of docs(doc_id, text, ...) and notice whose coverage in one passage reaches the limits.
 
-    first_word and end_word bound the best passage (the earliest of equals) in words_of(text). Null and empty texts hold no
-    notice. Rows are judged one by one, so repeated rows agree; a null doc_id stays null. Other columns are ignored.
+    first_word and end_word bound the best passage (the earliest of equals) in words_of(text); passages is how many there are.
+    Null and empty texts hold no notice. A long text is held by its task as a list of words, and time grows with its length.
+    Rows are judged one by one, so repeated rows agree; a null doc_id stays null. Other columns are ignored. Coverage is that
+    of the notice, as NOTICES has it, not of the licence that it names.
     """
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_scan(notices), SCHEMA)
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
+    """The licence notices in every whole text of documents; nulls, empty and long texts and repeated rows as in license_scan()."""
     return license_scan(table(spark, sf_dir, "documents"))
