@@ -7,6 +7,9 @@ times shorter than what would be read without it, the lists stored below it and
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from ..storage import release, stored
 
 #: Suffixes of a block; nodes in the next larger one; times that a list must be shorter than what it stands for.
 BLOCK_SIZE, ARITY, STORING_FACTOR = 512, 4, 4
+#: So many different nodes, or gaps, are also pushed to the file scans.
+PUSHED = 64
 NODES = "level int, node long, doc_id long, freq long, first_isa long, last_isa long"
 
 
@@ -58,7 +63,7 @@ def node_lists(rows: DataFrame, sampled: DataFrame, block_size: int = BLOCK_SIZE
         own = sampled.where(F.col("level") == k).select("node")
         up = lists if k == least else lists.groupBy(F.floor(F.col("node") / arity ** (k - least)).alias("node"), "doc_id").agg(*merge)
         out = out.unionByName(up.join(own, "node").withColumn("level", F.lit(k)))
-    out = stored(out)
+    out = stored(out.repartitionByRange("level", "node").sortWithinPartitions("level", "node"), **{"parquet.block.size": 4 << 20})
     release(lists)
     return out
 
@@ -95,8 +100,13 @@ def gap_rows(gaps: DataFrame, rows: DataFrame, block_size: int = BLOCK_SIZE) ->
 
 def covered(intervals: DataFrame, rows: DataFrame, nodes: DataFrame, sampled: DataFrame, block_size: int = BLOCK_SIZE, arity: int = ARITY) -> DataFrame:
     """pattern_id, doc_id, freq, first_isa, last_isa of the parts that make up each interval."""
-    intervals = stored(intervals)
-    chosen, gaps = cover(intervals, sampled, block_size, arity)
+    chosen, gaps = (stored(x) for x in cover(stored(intervals), sampled, block_size, arity))
+    few = lambda df, *names: [tuple(r) for r in df.select(*names).distinct().limit(PUSHED + 1).collect()]
+    lists, spans = few(chosen, "level", "node"), few(gaps, "lo", "hi")
+    if len(lists) <= PUSHED:  # so that the scan skips row groups, as both tables are stored in this order
+        nodes = nodes.where(reduce(or_, ((F.col("level") == k) & (F.col("node") == node) for k, node in lists), F.lit(False)))
+    if len(spans) <= PUSHED:
+        rows = rows.where(reduce(or_, (F.col("rk").between(lo, hi) for lo, hi in spans), F.lit(False)))
     inner = nodes.join(chosen, ["level", "node"]).select("pattern_id", "doc_id", "freq", "first_isa", "last_isa")
     edge = gap_rows(gaps, rows.select("block", "rk", "doc_id", "isa"), block_size)
     return inner.unionByName(edge.select("pattern_id", "doc_id", F.lit(1).cast("long").alias("freq"), F.col("isa").alias("first_isa"), F.col("isa").alias("last_isa")))

@@ -7,9 +7,12 @@ repeated patterns are answered each for itself. An empty pattern is an error.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from operator import or_
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from .index import DocIndex
 
 #: Most pattern characters that are sent to every task of a scan; with more, patterns are scanned in lots of that size.
 SCAN_CHARACTERS = 1 << 20
+#: Most patterns that a scan searches one by one.
+ONE_BY_ONE = 24
 #: So many different patterns are also pushed to the file scan, which then skips row groups by their key range.
 PUSHED = 64
 
@@ -33,18 +38,49 @@ def checked(patterns: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Each text is searched for each pattern; no index. The patterns' size is checked before they go to all tasks."""
-    size = checked(patterns).agg(F.sum(F.length("pattern"))).first()[0] or 0
-    lots = -(-size // SCAN_CHARACTERS)
+    """Each text is searched for each pattern; no index. The patterns' size is checked before they go to all tasks.
+
+    A few patterns are searched one by one, in the JVM; more of them in one pass over each text by an automaton.
+    """
+    size, number = checked(patterns).agg(F.sum(F.length("pattern")), F.count("*")).first()
+    lots = -(-(size or 0) // SCAN_CHARACTERS)
     found = None
     for lot in range(max(1, lots)):
         some = patterns if lots <= 1 else patterns.where(F.pmod(F.xxhash64("pattern_id", "pattern"), F.lit(lots)) == lot)
-        pairs = docs.select("doc_id", "text").join(F.broadcast(some), F.contains("text", "pattern"))
-        part = pairs.select("pattern_id", "doc_id", occurrences(F.col("text"), F.col("pattern")).alias("freq"))
+        if number > ONE_BY_ONE:
+            part = docs.select("doc_id", "text").mapInArrow(_all_at_once(some.select("pattern_id", "pattern").collect()), "pattern_id long, doc_id long, freq long")  # a lot of bounded size
+        else:
+            pairs = docs.select("doc_id", "text").join(F.broadcast(some), F.contains("text", "pattern"))
+            part = pairs.select("pattern_id", "doc_id", occurrences(F.col("text"), F.col("pattern")).alias("freq"))
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def _all_at_once(patterns: list):
+    """Counts all patterns in one pass over each text."""
+    ids: dict[str, list[int]] = {}
+    for number, pattern in patterns:
+        ids.setdefault(pattern, []).append(number)
+
+    def count(batches):
+        automaton = ahocorasick.Automaton()
+        for pattern in ids:
+            automaton.add_word(pattern, pattern)
+        if ids:
+            automaton.make_automaton()
+        for batch in batches:
+            rows = ([], [], [])
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                freq = Counter(pattern for _, pattern in automaton.iter(text)) if ids and text else {}
+                for pattern, n in freq.items():
+                    for number in ids[pattern]:
+                        for column, value in zip(rows, (number, doc, n), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["pattern_id", "doc_id", "freq"])
+
+    return count
+
+
 def matches(index: DocIndex, patterns: DataFrame) -> DataFrame:
     """The index rows that begin with each pattern, with pattern_id and len: one hash join on as many first characters as all patterns have.
 
