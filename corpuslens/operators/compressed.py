@@ -89,6 +89,15 @@ class Grammar:
             now, at = out[keep], begin[keep]
         return now
 
+    def from_left(self, skip: int, count: int) -> np.ndarray:
+        """At most `count` symbols of documents from the left end on, after `skip` of them."""
+        return self.expand(skip, skip + count - 1)
+
+    def from_right(self, skip: int, count: int) -> np.ndarray:
+        """The same from the right end on, going left."""
+        end = int(self.heads[-1]) - skip
+        return self.expand(max(0, end - count), end - 1)[::-1] if end > 0 else np.zeros(0, np.int64)
+
     def first_last(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The documents at low..high, and their first and last place."""
         symbols = self.expand(low, high)
@@ -162,3 +171,28 @@ def expanded(intervals: DataFrame, found: DataFrame, stretch: int = STRETCH) ->
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), x["pattern_id"], np.int64)), pa.array(np.arange(len(docs)) + (base + x["lo"])), pa.array(docs)], ["pattern_id", "rk", "doc_id"])
 
     return found.join(_ranges(intervals, stretch), "stretch").mapInArrow(expand, "pattern_id long, rk long, doc_id long")
+
+
+def ends(found: DataFrame, skip: int, count: int, right: bool = False) -> DataFrame:
+    """stretch, i (from 0) and doc_id of the `count` rows after the first `skip` of each stretch; with `right`, from its end on, going left."""
+
+    def expand(batches):
+        for batch in batches:
+            for i, own in enumerate(_grammars_of(batch)):
+                docs = own.docs[own.from_right(skip, count) if right else own.from_left(skip, count)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), batch.column("stretch")[i].as_py(), np.int64)), pa.array(np.arange(len(docs))), pa.array(docs)], ["stretch", "i", "doc_id"])
+
+    return found.mapInArrow(expand, "stretch long, i long, doc_id long")
+
+
+def relational(found: DataFrame, least: int, sigma: int, stretch: int = STRETCH) -> tuple[DataFrame, DataFrame]:
+    """rules(var, left, right) and sequence(at, var) of all stretches, as the relational operators take them.
+
+    Terminals are 1..sigma, for the doc_ids from `least` on; a stretch has fewer rules than rows, so its rules are numbered from
+    sigma + 1 + its first row on; `at` orders the roots and has gaps, as a stretch has no more roots than rows.
+    """
+    name = lambda symbol: F.when(symbol < F.size("docs"), F.element_at("docs", symbol + 1) - (least - 1)).otherwise(symbol - F.size("docs") + F.col("stretch") * stretch + (sigma + 1))
+    pairs = found.select("stretch", "docs", F.posexplode(F.arrays_zip("left", "right")).alias("i", "p"))
+    rules = pairs.select((F.col("i") + F.col("stretch") * stretch + (sigma + 1)).alias("var"), name(F.col("p.left")).alias("left"), name(F.col("p.right")).alias("right"))
+    roots = found.select("stretch", "docs", F.posexplode("roots").alias("i", "root"))
+    return rules, roots.select((F.col("i") + F.col("stretch") * stretch).alias("at"), name(F.col("root")).alias("var"))

@@ -5,10 +5,10 @@ Loops run once for each level of the grammar, and each level is a join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import numbered, run_numbers, running_sum, shifted
+from ..functions.ordered import running_sum
 from ..storage import stored
 
 
@@ -104,30 +104,3 @@ def binary_tree(leaves: DataFrame, first_id: int) -> DataFrame:
         found.append(named.where("n = 2").select("id", "left", "right"))
         level, first_id, n = named.select("i", "id"), first_id + n // 2, (n + 1) // 2
     return _union(found) if found else leaves.select(F.col("id"), F.col("id").alias("left"), F.col("id").alias("right")).limit(0)
-
-
-def pair_grammar(sequence: DataFrame, sigma: int, most_rules: int) -> tuple[DataFrame, DataFrame]:
-    """rules and the final sequence(i, var) after replacing the most frequent pair again and again, while it occurs twice.
-
-    A round is a few jobs over the whole sequence, so most_rules bounds the rounds. In a stretch of one symbol every other
-    pair is replaced; ties go to the smaller pair.
-    """
-    spark, rules = sequence.sparkSession, []
-    now = stored(sequence.select("i", F.col("var").cast("long").alias("var")))
-    for new in range(sigma + 1, sigma + 1 + most_rules):
-        stretch = numbered_runs(shifted(now, "var", "next", 1, "i"))
-        pairs = stored(stretch.withColumn("counts", F.col("next").isNotNull() & ((F.col("var") != F.col("next")) | (F.col("inside") % 2 == 0))))
-        top = pairs.where("counts").groupBy("var", "next").count().orderBy(F.desc("count"), "var", "next").first()
-        if top is None or top["count"] < 2:
-            break
-        rules.append((new, top["var"], top["next"]))
-        hit = F.col("counts") & (F.col("var") == top["var"]) & (F.col("next") == top["next"])
-        marked = shifted(pairs.withColumn("hit", hit), "hit", "taken", -1, "i")
-        kept = marked.where(~F.coalesce("taken", F.lit(False))).select("i", F.when(F.col("hit"), F.lit(new)).otherwise(F.col("var")).alias("var"))
-        now = stored(numbered(kept, "i", name="at").select(F.col("at").alias("i"), "var"))
-    return spark.createDataFrame(rules, "var long, left long, right long"), now
-
-
-def numbered_runs(df: DataFrame) -> DataFrame:
-    """df(i, var, ...) with inside: the place in its stretch of equal symbols."""
-    return run_numbers(df, "var", "_run", "i").withColumn("inside", F.row_number().over(Window.partitionBy("_run").orderBy("i")) - 1).drop("_run", "head")

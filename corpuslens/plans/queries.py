@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import ordered
 from ..operators import grammar
 from ..operators.blocks import block_table, node_lists, sampled_nodes
-from ..operators.compressed import expanded, first_last_rows, interval_cover
+from ..operators.compressed import ends, expanded, first_last_rows, interval_cover, relational
 from ..operators.suffixes import bwt, bwt_runs, exact_suffix_array, merged_runs
 from ..sources.artifacts import info, printed_results, space
 from ..sources.collections import SEQUENCE_BREAK, borders, patterns_of, sample_patterns
+from ..storage import stored
 from . import strategies
 from .index import DocIndex, build, index_of, index_rows
 
@@ -24,6 +25,7 @@ NAME_PATTERNS = ["r", "ring", "e wi", "re", "zzz", "bolt"]
 NAME_KEY, NAME_STRETCH = 64, 4096
 _indexes: dict[tuple, DocIndex] = {}
 _name_indexes: dict[tuple, DocIndex] = {}
+_grammars: dict[tuple, tuple] = {}
 _arrays: dict[tuple, DataFrame] = {}
 
 
@@ -144,6 +146,41 @@ def da_first_last(spark, sf_dir):
     return first_last_rows(_ranges(spark), name_index(spark, sf_dir).grammars, NAME_STRETCH)
 
 
+def da_ends(spark, sf_dir):
+    """Twenty rows of each stretch of the document array after the first three, from either end."""
+    found = name_index(spark, sf_dir).grammars
+    return ends(found, 3, 20).withColumn("side", F.lit("left")).unionByName(ends(found, 3, 20, True).withColumn("side", F.lit("right")))
+
+
+def _relational(spark, sf_dir):
+    """Rules, node occurrences, spans and laid-out roots of the document array's grammars."""
+
+    def make():
+        index = name_index(spark, sf_dir)
+        least, most = index.docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        sigma = most - least + 1
+        rules, sequence = (stored(x) for x in relational(index.grammars, least, sigma, NAME_STRETCH))
+        occ = grammar.occurrences(rules, sigma)
+        spans = stored(occ.groupBy("var").agg(F.max("span_len").alias("span_len")))
+        roots = ordered.numbered(sequence, "at", name="root_pos").select("root_pos", "var")
+        return rules, occ, spans, stored(grammar.laid_out(roots, spans).select("var", F.col("off").alias("start"))), least - 1
+
+    return _once(_grammars, spark, sf_dir, make)
+
+
+def da_relational_expand(spark, sf_dir):
+    """Rows 4,090 to 4,109 of the document array, level by level from the rules."""
+    rules, _, spans, roots, before = _relational(spark, sf_dir)
+    return grammar.expand(rules, roots, spans, 4090, 4110).select(F.col("off").alias("rk"), (F.col("term") + before).alias("doc_id"))
+
+
+def da_relational_first_last(spark, sf_dir):
+    """First and last place of each document in rows 100 to 1,500, from the occurrences of the cover's symbols."""
+    rules, occ, spans, roots, before = _relational(spark, sf_dir)
+    found = grammar.cover_occurrences(grammar.cover(rules, roots, spans, 100, 1500), occ)
+    return found.select((F.col("term") + before).alias("doc_id"), (F.col("first_pos") + 99).alias("first_rk"), (F.col("last_pos") + 99).alias("last_rk"))
+
+
 def grammar_space(spark, sf_dir):
     """Stretches whose grammar is not larger than they are, in symbols."""
     sizes = name_index(spark, sf_dir).grammars.select("stretch", (2 * F.size("left") + F.size("roots")).alias("symbols"))
@@ -236,6 +273,9 @@ QUERIES = {
     "da_expand": da_expand,
     "da_cover": da_cover,
     "da_first_last": da_first_last,
+    "da_ends": da_ends,
+    "da_relational_expand": da_relational_expand,
+    "da_relational_first_last": da_relational_first_last,
     "grammar_space": grammar_space,
     "node_sample": node_sample,
     "ilcp_runs": lambda spark, sf_dir: ordered.runs(name_rows(spark, sf_dir).select("rk", "ilcp_b"), "ilcp_b"),
@@ -342,6 +382,10 @@ SELECT doc_id, pos, row_number() OVER (ORDER BY substr(text, pos + 1), doc_id, p
     "da_expand": _SUFFIXES + f", r(pattern_id, sp, ep) AS (VALUES {_values(RANGES)}) SELECT pattern_id, rk, doc_id FROM s JOIN r ON rk BETWEEN sp AND ep",
     "da_cover": _SUFFIXES + f", r(pattern_id, sp, ep) AS (VALUES {_values(RANGES)}) SELECT pattern_id, min(rk) AS sp, max(rk) AS ep, 1 AS gapless FROM s JOIN r ON rk BETWEEN sp AND ep GROUP BY pattern_id",
     "da_first_last": _SUFFIXES + f", r(pattern_id, sp, ep) AS (VALUES {_values(RANGES)}) SELECT pattern_id, doc_id, min(rk) AS first_rk, max(rk) AS last_rk FROM s JOIN r ON rk BETWEEN sp AND ep GROUP BY pattern_id, doc_id",
+    "da_ends": _SUFFIXES + """, e AS (SELECT doc_id, rk // 4096 AS stretch, row_number() OVER (PARTITION BY rk // 4096 ORDER BY rk) - 4 AS a, row_number() OVER (PARTITION BY rk // 4096 ORDER BY rk DESC) - 4 AS b FROM s)
+SELECT stretch, a AS i, doc_id, 'left' AS side FROM e WHERE a BETWEEN 0 AND 19 UNION ALL SELECT stretch, b, doc_id, 'right' FROM e WHERE b BETWEEN 0 AND 19""",
+    "da_relational_expand": _SUFFIXES + "SELECT rk, doc_id FROM s WHERE rk BETWEEN 4090 AND 4109",
+    "da_relational_first_last": _SUFFIXES + "SELECT doc_id, min(rk) AS first_rk, max(rk) AS last_rk FROM s WHERE rk BETWEEN 100 AND 1500 GROUP BY doc_id",
     "grammar_space": _SUFFIXES + "SELECT DISTINCT rk // 4096 AS stretch, 1 AS compressed FROM s",
     "node_sample": _NODES,
     "index_space": _SPACE,

@@ -43,11 +43,3 @@ def test_cover_and_expansion(big, low, high):
 def test_binary_tree(spark, leaves, want):
     rows = spark.createDataFrame(list(enumerate(leaves)), "i long, id long")
     assert sorted(tuple(r) for r in grammar.binary_tree(rows, len(leaves) + 1).collect()) == want
-
-
-def test_pair_grammar_gives_the_sequence_back(spark):
-    text = [1, 2, 1, 2, 3, 3, 3, 3, 1, 2, 1, 2]
-    rules, final = grammar.pair_grammar(spark.createDataFrame(list(enumerate(text)), "i long, var long"), 3, 4)
-    parts = {r["var"]: (r["left"], r["right"]) for r in rules.collect()}
-    spell = lambda v: [v] if v not in parts else [x for side in parts[v] for x in spell(side)]
-    assert [x for r in final.orderBy("i").collect() for x in spell(r["var"])] == text and parts[4] == (1, 2)
