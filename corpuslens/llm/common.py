@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches of at most `limit` bytes in `column`, or of one row."""
+def _trim() -> None:
+    """Gives freed memory back, as workers serve one stage after another."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows and `limit` bytes in `column`, or of one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -36,9 +45,10 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, base + limit, "right"))))
             yield batch.slice(at, to - at)
             at = to
+    _trim()
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -46,6 +56,27 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes, overlap: int, limit: int = SLICE_BYTES) -> Iterator[bytes]:
+    """The text in pieces of about `limit` bytes, cut between words; each begins with the last `overlap` words of the one before.
+
+    All pieces but an only one have more words than `overlap`, so each run of overlap + 1 words is in just one of them.
+    """
+    at, held, first = 0, b"", True
+    while at < len(text):
+        cut = _BREAK.search(text, at + limit)
+        to = cut.start() if cut else len(text)
+        held, at = held + text[at:to], to
+        words = held.split()
+        if len(words) > overlap:
+            yield held
+            held, first = b" ".join(words[len(words) - overlap :]) if overlap else b"", False
+    if first:
+        yield held
+
+
 def ids_of(column: pa.Array, missing: int = 2**63 - 1) -> np.ndarray:
     """int64 ids; a null sorts after all others."""
     return column.cast(pa.int64()).fill_null(missing).to_numpy(zero_copy_only=False)
