@@ -1,11 +1,14 @@
 """Each operator against brute force, on tables with nulls, empty and long texts, repeated rows and other columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -59,6 +62,21 @@ def windows_removed(texts, n=20):
     return out
 
 
+def test_pieces_of_a_long_text_hold_each_window_once(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 300)
+    texts = [TEXTS[10], "short one", "", "x" * 900 + " " + TEXTS[0], None, "a b  " * 300]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], ["doc_id", "mark", "text"])
+    got, want = [], []
+    for ids, _, before, lot in substring_dedup._lots(iter([batch]), 20):
+        for d, base, t in zip(ids.tolist(), before.tolist(), lot, strict=True):
+            words = t.split()
+            got += [(d, base + i, tuple(words[i : i + 20])) for i in range(len(words) - 19)]
+    for d, t in enumerate(texts):
+        words = (t or "").encode().split()
+        want += [(d, i, tuple(words[i : i + 20])) for i in range(len(words) - 19)]
+    assert got == want and len(got) > 1000
+
+
 @pytest.mark.parametrize("common", [20_000, 1])
 def test_substring_dedup(spark, docs, monkeypatch, common):
     monkeypatch.setattr(substring_dedup, "COMMON", common)
@@ -90,8 +108,9 @@ def chunks_removed(texts):
             continue
         lines, parts, begin = t.split("\n"), [], 0
         h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        r = [(31 * (h[i - 1] if i else 0) + h[i]) % 1000003 for i in range(len(lines))]
         for i in range(len(lines)):
-            if (31 * (h[i - 1] if i else 0) + h[i]) % 3 == 0 or i == len(lines) - 1:
+            if 1 <= i <= len(lines) - 3 and r[i - 1] > r[i] <= r[i + 1] or i == len(lines) - 1:
                 parts.append(lines[begin : i + 1])
                 begin = i + 1
         out[d] = "\n".join(x for part in [p for j, p in enumerate(parts) if len(p) < 2 or first.setdefault("\n".join(p), (d, j)) == (d, j)] for x in part)
@@ -108,11 +127,26 @@ def test_line_dedup(spark, docs, nothing):
     assert sorted((r.doc_id, r._cl_n_removed > 0) for r in again) == [(1, False), (1, False), (2, True)]
 
 
+def test_exact_copies_lose_all_lines_and_most_of_a_repeated_passage_goes(spark):
+    rng = np.random.default_rng(21)
+    lines = lambda n: [f"line {x}" for x in rng.integers(0, 10**9, n)]
+    whole, passage = lines(12), lines(40)
+    texts = ["\n".join(whole), "\n".join(whole), "\n".join(lines(9) + passage + lines(7)), "\n".join(lines(4) + passage + lines(11)), "a\nb", "a\nb", "single", "single"]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, texts)).collect()}
+    assert got[1]._cl_n_removed == 12 and got[1].text == "" and got[5]._cl_n_removed == 2 and got[7].text == "single"
+    assert 30 <= got[3]._cl_n_removed <= 40 and got[3].text.startswith(texts[3][:30]) and got[2]._cl_n_removed == 0
+    with pytest.raises(ValueError):
+        line_dedup.line_dedup(table(spark).withColumn("_cl_gone", F.lit(1)))
+
+
 def test_line_chunks_join_to_the_text():
     for t in TEXTS:
         if t is not None:
             own = line_dedup.chunks(t.encode())
             assert b"\n".join(body for body, _ in own) == t.encode() and sum(n for _, n in own) == t.count("\n") + 1
+            assert len(own) == 1 or min(n for _, n in own) >= 2
+            wide = line_dedup.chunks(t.encode(), 3, 4)
+            assert b"\n".join(body for body, _ in wide) == t.encode() and (len(wide) == 1 or min(n for _, n in wide) >= 4)
 
 
 def simhash_of(text, n=4):
@@ -152,9 +186,9 @@ def test_simhash_does_not_join_texts_by_a_repeated_or_null_doc_id(spark):
     fps = [simhash_of(t) for t in texts]
     rows = simhash.near_duplicates(table(spark, texts, ids)).collect()
     linked = reach(fps, range(len(texts)), 4)
-    last = 2**63 - 1
-    want = {fps[i]: min(last if ids[k] is None else ids[k] for k in linked if linked[k] == linked[i]) for i in range(len(texts))}
+    want = {fps[i]: min((ids[k] for k in linked if linked[k] == linked[i] and ids[k] is not None), default=None) for i in range(len(texts))}
     assert len(rows) == 7 and all(r.component_id == want[r.fp & (2**64 - 1)] for r in rows) and len(set(want.values())) >= 4
+    assert sorted(map(str, (r.doc_id for r in rows))) == sorted(map(str, ids)) and want[fps[5]] is None
 
 
 @pytest.mark.parametrize(("rows", "agree"), [(50_000, 2), (8, 2), (8, 3)])
@@ -170,7 +204,8 @@ def test_simhash_links_join_what_brute_force_joins(spark, monkeypatch, rows, agr
 
 
 def test_only_letters_are_letters():
-    model = language_id.Model(["a", "b"], language_id.counts(["one two", "drei vier"]))
+    idf, n = np.ones(language_id.FEATURES, np.float32), language_id.counts(["one two", "drei vier"])
+    model = language_id.Model(idf, {lang: language_id.weights(n[[i]], idf) for i, lang in enumerate("ab")}, {})
     assert [x[0] == "und" for x in model.predict(["²½ ①", "_1", "", None, "é", "字", "ª"])] == [True] * 4 + [False] * 3
 
 
@@ -189,8 +224,11 @@ def test_trie_forest_over_several_words():
     want = np.arange(len(prints))
     while not np.array_equal(least := np.where(linked, want[None], len(prints)).min(axis=1), want):
         want = least
-    got = simhash.trie_forest(prints[:, 0].copy(), np.array([0]), np.array([len(prints)]), 22, prints[:, 1:].copy(), 44)
+    got, pairs = simhash.trie_forest(prints[:, 0].copy(), np.array([0]), np.array([len(prints)]), 22, prints[:, 1:].copy(), 44)
     assert np.array_equal(got, want)
+    assert linked[pairs[0], pairs[1]].all() and len(pairs[0]) < 2 * len(prints)
+    shown = np.arange(len(prints))
+    assert np.array_equal(simhash._unite(shown, *pairs), want)
 
 
 @pytest.mark.parametrize("rows", [50_000, 40])
@@ -204,9 +242,9 @@ def test_near_copies(spark, docs, nothing, monkeypatch, rows):
         text[int(rng.integers(0, 240))] = "other"  # 5 of 246 shingles
         texts.append(" ".join(text))
     texts += [" ".join(words(250)) for _ in range(40)] + [" ".join(base[0][:125] + words(125))]
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(table(spark, texts)).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.with_component_id(simhash.near_copies(table(spark, texts))).collect()}
     assert got == {i: i % 12 if i < 120 else i for i in range(len(texts))}
-    assert sorted((r.doc_id, r.component_id) for r in simhash.near_copies(docs).collect() if r.doc_id in (3, 4, 5, 11, 14)) == [(3, 3), (4, 3), (5, 3), (11, 0), (14, 0)]
+    assert sorted((r.doc_id, r.component_id) for r in simhash.with_component_id(simhash.near_copies(docs)).collect() if r.doc_id in (3, 4, 5, 11, 14)) == [(3, 3), (4, 3), (5, 3), (11, 0), (14, 0)]
     assert simhash.near_copies(nothing).count() == 0
 
 
@@ -222,10 +260,45 @@ def test_near_copies_are_those_of_similar_shingles(spark):
         texts += [" ".join(own), " ".join(other)]
     line = "one two three four five six seven"
     texts += [line, f"{line} " * 40 + " ".join(words(4))]  # the votes of one, and five more different shingles
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(table(spark, texts)).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.with_component_id(simhash.near_copies(table(spark, texts))).collect()}
     assert got == dict(enumerate([*want, len(want), len(want) + 1]))
 
 
+def test_copies_of_one_text_that_are_not_similar_to_each_other(spark):
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 50_000, 150)]
+    texts = [" ".join(base)]
+    for i in range(300):  # each new word changes 5 of 146 shingles; 4 of them leave 126 of 166
+        text = list(base)
+        for at in rng.choice(29, int(rng.integers(1, 9)), replace=False):
+            text[5 * at + 2] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(text))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    linked = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    want = np.arange(len(texts))
+    while not np.array_equal(least := np.where(linked, want[None], len(texts)).min(axis=1), want):
+        want = least
+    got = {r.doc_id: r.component_id for r in simhash.with_component_id(simhash.near_copies(table(spark, texts))).collect()}
+    assert got == dict(enumerate(want.tolist())) and 50 < len(set(got.values())) < 250
+
+
+def test_long_texts_have_the_fingerprints_and_sets_of_whole_ones(monkeypatch):
+    rng = np.random.default_rng(13)
+    texts = [b"", b" ", b"one", b" ".join(b"%d" % x for x in rng.integers(0, 99, 3000)), b"x" * 500 + b"  y \n" + b"z" * 700 + b" a b c d e", b"a b c d" + b" " * 900]
+    whole, sets = simhash.long_fingerprints(texts), simhash.shingle_sets(texts)
+    monkeypatch.setattr(simhash, "SLICE_BYTES", 300)
+    monkeypatch.setattr(simhash.pieces, "__defaults__", (300,))
+    assert np.array_equal(simhash.long_fingerprints(texts), whole) and all(np.array_equal(a, b) for a, b in zip(simhash.shingle_sets(texts), sets, strict=True))
+    assert [int(x) for x in simhash.fingerprints(texts)] == [simhash_of(t.decode()) for t in texts]
+
+
+def test_bands_follow_the_number_of_texts():
+    assert simhash.band_plan(0) == simhash.band_plan(100_000) and simhash.band_plan(10**9)[0] == 28
+    for n in (10**5, 10**7, 10**9):
+        bits, bands = simhash.band_plan(n)
+        assert (1 - (1 - simhash.MISSED_AT) ** bits) ** bands <= simhash.MISSED
+
+
 def test_trie_gives_all_pairs_between_known_components():
     rng = np.random.default_rng(10)
     base = rng.integers(0, 2**64, (10, 4), dtype=np.uint64)
@@ -236,7 +309,8 @@ def test_trie_gives_all_pairs_between_known_components():
     known = rng.integers(0, 4, len(prints))
     apart = np.bitwise_count(prints[:, None] ^ prints[None]).astype(int)
     hit = (apart[:, :, 0] <= 24) & (apart.sum(axis=2) <= 44) & (known[:, None] != known[None])
-    a, b = simhash.trie_forest(prints[:, 0].copy(), np.array([0]), np.array([len(prints)]), 24, prints[:, 1:].copy(), 44, known)
+    fits = lambda i, j, differ: differ <= 44
+    _, (a, b) = simhash.trie_forest(prints[:, 0].copy(), np.array([0]), np.array([len(prints)]), 24, prints[:, 1:].copy(), 60, known, fits, True)
     assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == {(i, j) for i, j in np.argwhere(hit).tolist() if i < j} != set()
 
 
@@ -322,6 +396,25 @@ def test_tokens_of_special_strings_and_odd_texts():
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_survives_long_white_space_and_keeps_the_order(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    long = [" " * 1_000_000, "a" + "\n" * 1_000_000 + " b", "x" * 300_000]
+    rows = packing.pack(table(spark, [*long, None, "", ""], [3, 2, 1, None, None, None]), with_ids=True).collect()
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    for d, text in zip((3, 2, 1), long, strict=True):
+        own = sorted((r.start, r.ids) for r in rows if r.doc_id == d)
+        assert np.frombuffer(b"".join(x for _, x in own), "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    assert sum(r.doc_id is None for r in rows) == 3
+    monkeypatch.setattr(packing, "GROUP_PIECES", 16)
+    docs = table(spark, ["word " * (i % 50) for i in range(200)])
+    by_sequence = defaultdict(list)
+    for r in packing.pack(docs).collect():
+        by_sequence[r.sequence_id].append(r.doc_id)
+    firsts = [min(by_sequence[q]) for q in sorted(by_sequence)]
+    assert firsts == sorted(firsts) and len(by_sequence) >= 13
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = np.random.default_rng(0)
     lengths = sorted(rng.integers(1, 101, 300).tolist(), reverse=True)
@@ -352,7 +445,7 @@ def test_language_id(spark, nothing):
     assert all(odd[i]._cl_lang == "und" and odd[i]._cl_rejected and odd[i]._cl_score == 0 for i in (1000, 1001, 1002))
     assert odd[1003]._cl_rejected and odd[1003]._cl_lang in kinds and odd[None]._cl_lang == "aa" and len(out) == len(rows)
     assert language_id.identify(nothing, language_id.learn(nothing)).count() == 0
-    one = language_id.identify(docs.limit(2), language_id.Model([], np.zeros((0, language_id.FEATURES)))).collect()
+    one = language_id.identify(docs.limit(2), language_id.Model(np.ones(language_id.FEATURES, np.float32), {}, {})).collect()
     assert all(r._cl_lang == "und" for r in one)
 
 
@@ -361,6 +454,34 @@ def test_language_of_a_text_does_not_depend_on_its_neighbours():
     assert np.array_equal(language_id.counts(texts), np.concatenate([language_id.counts([t]) for t in texts]))
 
 
+def test_long_texts_are_counted_whole(monkeypatch):
+    texts = ["ab cde " * 400, "", "z" * 1000, "é ab" * 90, "q"]
+    whole = language_id.counts(texts)
+    monkeypatch.setattr(language_id, "PIECE", 64)
+    assert np.array_equal(language_id.counts(texts), whole) and whole[2].sum() == 1001 + 1000
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(3)
+    letters = [chr(0x4E00 + i) for i in range(3300)]
+    rows = [(3 * i + k, "".join(rng.choice(letters[3 * i : 3 * i + 3], 30)), f"l{i:04}") for i in range(1100) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    taught = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(taught) > 1000 and set(model.langs) == taught
+    with pytest.raises(ValueError):
+        language_id.identify(docs.withColumn("_cl_score", F.lit(1)), model)
+
+
+def test_short_clean_texts_are_not_rejected(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(words, 150)), "aa") for i in range(300)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert not any(far for _, _, far in model.predict([words[0], " ".join(words[:2]), " ".join(words[3:7]), rows[0][1]]))
+    assert all(far for _, _, far in model.predict(["xyzzy vvv qqq zzz www yyy uuu ttt sss", "日本語のテキスト"]))
+
+
 def test_held_out_is_the_crc_rule(spark):
     rows = spark.range(50).select("id", language_id.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)
@@ -396,14 +517,22 @@ def vectors(spark, n=400, d=8):
     rng = np.random.default_rng(4)
     rows = [(i, (rng.normal(size=d) * rng.choice([0.1, 1, 5])).astype(np.float32).tolist(), "z") for i in range(n)]
     rows[60] = (60, rows[40][1], "z")
-    rows += [(10000, None, "z"), (10020, [1.0, None] + [0.0] * 6, "z"), (10040, [float("nan")] + [0.0] * 7, "z"), (10060, [float("inf")] + [0.0] * 7, "z"), (10080, [0.0] * 8, "z"), (None, [1.0] * 8, "z"), (40, rows[40][1], "z")]
+    rows += [(10000, None, "z"), (10020, [1.0, None] + [0.0] * 6, "z"), (10040, [float("nan")] + [0.0] * 7, "z"), (10060, [float("inf")] + [0.0] * 7, "z"), (10080, [0.0] * 8, "z"), (None, [1.0] * 8, "z")]
+    rows += [(40, rows[40][1], "z"), (80, rows[3][1], "z"), (81, rows[5][1], "z")]  # a repeated row, and other vectors of known ids
     rows += [(20000 + i, rows[7][1], "z") for i in range(40)]
+    rows += [(30000 + i, rng.normal(size=5).astype(np.float32).tolist(), "z") for i in range(60)] + [(40000, [1.0], "z"), (40001, [2.0], "z"), (40002, [], "z")]
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(3), rows
 
 
 def brute_top(rows, convert, k, zero):
-    good = {i: convert(np.array(v, float)) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and (zero or any(v))}
-    return {q: sorted(((-float(good[q] @ v), i) for i, v in good.items() if i != q))[:k] for q in good if q % 20 == 0}
+    """(query_id, rank, vec_id, score) of each query row, sorted."""
+    good = [(i, convert(np.array(v, float))) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and (zero or any(v))]
+    out = []
+    for at, (q, x) in enumerate(good):
+        if q % 20 == 0:
+            found = sorted((-float(x @ v), i) for j, (i, v) in enumerate(good) if j != at and len(v) == len(x))[:k]
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(found, 1)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("block", [16_384, 100])
@@ -412,28 +541,56 @@ def test_exact_search(spark, monkeypatch, block):
     monkeypatch.setattr(exact_search, "BUCKET", 32)
     frame, rows = vectors(spark)
     want = brute_top(rows, lambda x: np.floor(64 * x), 20, True)
-    got = defaultdict(list)
-    for r in exact_search.exact_top_k(frame).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((-float(r.score), r.vec_id))
-        assert r["rank"] == len(got[r.query_id])
-    assert dict(got) == want and 10080 in want
+    got = sorted((r.query_id, r["rank"], r.vec_id, float(r.score)) for r in exact_search.exact_top_k(frame).collect())
+    assert got == want and {10080, 30000, 40000} <= {r[0] for r in got}
+    assert sum(r[0] == 40 for r in got) == 40 and (80, 1) in {r[:2] for r in got}
     assert exact_search.exact_top_k(frame.limit(0)).count() == 0
-    assert exact_search.exact_top_k(frame.where("vec_id IN (40, 60, 61)")).count() == 4
+    assert exact_search.exact_top_k(frame.where("vec_id IN (40, 60, 61)")).count() == 9
+
+
+def test_exact_search_of_large_values(spark):
+    rows = [(0, [3.0, 1.0], ""), (1, [1e8, 1.0], ""), (2, [1e8, 2.0], ""), (3, [2e7, 0.0], ""), (4, [4e6, 0.5], ""), (5, [-1e12, 0.0], ""), (20, [1e14, -7.0], ""), (6, [1e307, 0.0], "")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    good = {i: [math.floor(64 * x) for x in v] for i, v, _ in rows if i != 6}
+    want = []
+    for q in (0, 20):
+        found = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)
+        want += [(q, rank, i, max(-(2**63), min(2**63 - 1, -s))) for rank, (s, i) in enumerate(found, 1)]
+    assert sorted(tuple(r) for r in exact_search.exact_top_k(frame).collect()) == sorted(want)
+
+
+def recall_of(got, want):
+    near = defaultdict(set)
+    for q, _, i, _ in want:
+        near[q].add(i)
+    return np.mean([i in near[q] for q, _, i, _ in got])
 
 
 def test_approximate_search(spark):
     frame, rows = vectors(spark, 3000)
     want = brute_top(rows, np.asarray, 20, False)
-    got = defaultdict(list)
-    for r in ann.nearest_neighbours(frame).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((-r.score, r.vec_id))
-    assert set(got) == set(want) and all(len(v) == 20 and v == sorted(v) for v in got.values())
-    exact = {i: np.array(v, float) for i, v, _ in rows if v is not None and i is not None}
-    assert all(-s == pytest.approx(float(exact[q] @ exact[i])) and i != q for q, found in got.items() for s, i in found)
-    recall = np.mean([len({i for _, i in got[q]} & {i for _, i in want[q]}) / 20 for q in want])
-    assert recall >= 0.9
+    got = sorted(tuple(r) for r in ann.nearest_neighbours(frame).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(a[0] != b[0] or a[1] >= b[1] or a[3] >= b[3] - 1e-12 for a, b in zip(got, got[1:], strict=False) if a[0] not in (40, 80))
+    exact = defaultdict(list)
+    for i, v, _ in rows:
+        exact[i].append(v)
+    assert all(any(s == pytest.approx(float(np.dot(x, y))) for x in exact[q] for y in exact[i] if len(x) == len(y)) for q, _, i, s in got[::7])
+    assert recall_of(got, want) >= 0.9
     assert ann.nearest_neighbours(frame.limit(0)).count() == 0
-    assert ann.nearest_neighbours(frame.where("vec_id IN (40, 60, 61)")).count() == 4
+    assert ann.nearest_neighbours(frame.where("vec_id IN (40, 60, 61)")).count() == 9
+
+
+def test_clustered_vectors_need_few_of_them(spark):
+    rng = np.random.default_rng(15)
+    centers = rng.normal(size=(400, 32))
+    x = (centers[rng.integers(0, 400, 20_000)] + 0.15 * rng.normal(size=(20_000, 32))).astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert ann.share_for(ann.Codebooks(x), x, 20) < 0.05
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    near = {q: set(np.argsort(-np.where(np.arange(len(x)) == q, -np.inf, x @ x[q]))[:20].tolist()) for q in range(0, len(x), 20)}
+    got = ann.nearest_neighbours(frame).collect()
+    assert len(got) == 20 * len(near) and np.mean([r.vec_id in near[r.query_id] for r in got]) >= 0.9
 
 
 def test_cells_come_by_summed_distance():

@@ -38,7 +38,9 @@ def test_near_duplicate_stage(spark, docs):
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate(spark, docs, FOLDER).collect())
     assert kept == [0, 1, 2, 3, 6, 7, 8, 9, 10, 13]  # 4 and 5 have no word, as 3; 11, 12 and 14 are 0 again, 13 has É for é; 15 and 16 are 6
     odd = table(spark, ["a b c d e f g", "a b c d e f g", "h i j k l m n", "o p q r s t u"], [1, None, 2, 2])
-    assert sorted((r.doc_id or 0) for r in corpus_pipeline.near_duplicate(spark, odd, FOLDER).collect()) == [0, 1, 2]
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.near_duplicate(spark, odd, FOLDER).collect()) == [1, 2, 2]
+    odd = table(spark, ["a b c d e f g", "a b c d e f g", "h i j k l m n", "h i j k l m n", "h i j k l m n"], [None, None, 3, 3, None])
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.near_duplicate(spark, odd, FOLDER).collect()) == [0, 3]
 
 
 def test_mixing_and_packing_stages(spark, docs):
