@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL.format(docs="documents"),
+    "op4_mixing": mixing.SQL,
+    "op5_substring_dedup": substring_dedup.SQL,
     "op8_exact_search": exact_search.SQL,
 }
