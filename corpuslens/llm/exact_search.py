@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import numbered
-from .common import stored, table
+from .common import release, stored, table
 from .vectors import BLOCK, best, matrix, ranked, usable
 
 K, QUERY_STEP, SCALE = 20, 20, 64
@@ -126,7 +126,9 @@ def exact_top_k(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP)
     compared. Products are exact at any size; a score that no long holds is returned as the nearest long.
     """
     tie = F.xxhash64(F.monotonically_increasing_id())  # equal rows may be dealt to several tasks
-    vectors = stored(numbered(usable(embeddings, integers, zero=True).withColumn("tie", tie), "dim", F.desc("length"), "vec_id", "tie").drop("tie").withColumn("part", F.floor(F.col("rk") / BLOCK)))
+    placed = numbered(usable(embeddings, integers, zero=True).withColumn("tie", tie), "dim", F.desc("length"), "vec_id", "tie")
+    vectors = stored(placed.drop("tie").withColumn("part", F.floor(F.col("rk") / BLOCK)))
+    release(placed)
     blocks = max(1, -(-vectors.where(F.col("vec_id") % query_step == 0).count() // BLOCK))
     parts = vectors.groupBy("dim", "part").agg(F.max("length").alias("top"))
     ends = parts.groupBy("dim").agg(F.min("part").alias("part"), F.max("part").alias("last"))  # a row for each length of vectors
