@@ -63,7 +63,7 @@ def node_lists(rows: DataFrame, sampled: DataFrame, block_size: int = BLOCK_SIZE
         own = sampled.where(F.col("level") == k).select("node")
         up = lists if k == least else lists.groupBy(F.floor(F.col("node") / arity ** (k - least)).alias("node"), "doc_id").agg(*merge)
         out = out.unionByName(up.join(own, "node").withColumn("level", F.lit(k)))
-    out = stored(out.repartitionByRange("level", "node").sortWithinPartitions("level", "node"), **{"parquet.block.size": 4 << 20})
+    out = stored(out.sortWithinPartitions("level", "node"), **{"parquet.block.size": 4 << 20})  # so that a row group holds few nodes
     release(lists)
     return out
 

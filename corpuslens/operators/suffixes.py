@@ -61,7 +61,10 @@ def suffix_rows(docs: DataFrame, key_length: int = KEY_LENGTH) -> DataFrame:
     shares with those of the document's suffixes before and behind it in that order; 0 at the ends. A document is in memory
     as a few numbers for each character.
     """
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_cut(key_length), "doc_id long, pos int, key string, isa long, ilcp_b int, ilcp_f int")
+    spark = docs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = docs.where("doc_id IS NOT NULL").select("doc_id", "text").repartition(tasks, "doc_id")  # a small part of what the suffixes take
+    return dealt.mapInArrow(_cut(key_length), "doc_id long, pos int, key string, isa long, ilcp_b int, ilcp_f int")
 
 
 def suffix_array(docs: DataFrame, key_length: int = KEY_LENGTH, walk=None) -> DataFrame:
