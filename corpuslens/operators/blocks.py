@@ -27,15 +27,16 @@ def block_table(index: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
     return index.groupBy(F.floor(F.col("rk") / block_size).alias("block"), "doc_id").agg(F.count("*").alias("freq"), F.min("isa").alias("first_isa"), F.max("isa").alias("last_isa"))
 
 
-def sampled_nodes(rows: DataFrame, n: int, block_size: int = BLOCK_SIZE, arity: int = ARITY, storing_factor: int = STORING_FACTOR) -> DataFrame:
+def sampled_nodes(rows: DataFrame, n: int, block_size: int = BLOCK_SIZE, arity: int = ARITY, storing_factor: int = STORING_FACTOR, levels: int | None = None) -> DataFrame:
     """level and node of the nodes that are stored, for n rows(rk, block, prev_rk).
 
-    A row is the first of its document in a node if the document's row before lies before the node, so one pass gives the
+    There are so many levels, or else as many as it takes until one node has all rows. A row is the first of its document in a node if the document's row before lies before the node, so one pass gives the
     lengths of all lists.
     """
-    levels = 0
-    while block_size * arity**levels < n:
-        levels += 1
+    if levels is None:
+        levels = 0
+        while block_size * arity**levels < n:
+            levels += 1
     fresh = [(F.col("prev_rk").isNull() | (F.col("prev_rk") < F.floor(F.col("rk") / (block_size * arity**k)) * (block_size * arity**k))).cast("long") for k in range(1, levels + 1)]
     level = stored(rows.groupBy(F.col("block").alias("node")).agg(F.count("*").alias("cost"), *(F.sum(c).alias(f"own_{k}") for k, c in enumerate(fresh, 1))))
     found, kept = level.sparkSession.createDataFrame([], "level int, node long"), [level]

@@ -1,5 +1,6 @@
 import csv
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.operators.blocks import cover, node_lists, sampled_nodes
 from corpuslens.operators.compressed import Grammar, compress, expanded, first_last_rows, grammars, interval_cover
 from corpuslens.operators.suffixes import merged_runs, run_starts
-from corpuslens.plans import benchmark, strategies
+from corpuslens.plans import benchmark, queries, strategies
 from corpuslens.plans.index import build
 
 
@@ -79,6 +80,16 @@ def test_sampled_nodes_cover_an_interval(spark):
     assert sorted(places) == [(p, i) for p, a, b in ranges for i in range(a, b + 1)]
 
 
+def test_node_sample_has_the_levels_of_its_sql(spark, tmp_path):
+    names = spark.range(4000).selectExpr("id AS p_partkey", "concat('part ', id, ' of ', id % 7) AS p_name")  # over 8 * 4 ** 6 characters
+    names.write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["node_sample"]).fetchall()
+    got = queries.node_sample(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and max(r.level for r in got) <= 6
+
+
 def test_merged_runs(spark):
     values, docs = [3, 3, 1, 2, 5, 4, 4], [0, 1, 2, 2, 2, 3, 4]
     begins, least = run_starts(np.array(values), np.array(docs))
