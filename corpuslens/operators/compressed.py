@@ -18,24 +18,38 @@ GRAMMARS = "stretch long, docs array<long>, left array<int>, right array<int>, r
 
 
 def compress(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """docs, left, right, roots of a sequence; rules only use symbols under their own."""
+    """docs, left, right, roots of a sequence; rules only use symbols under their own.
+
+    A pair that occurs once is left out of later rounds until one of its symbols is replaced: it can't become more frequent,
+    and it stands back for any pair that occurs twice.
+    """
     docs, now = np.unique(sequence, return_inverse=True)
     now, left, right, fresh = now.reshape(-1).astype(np.int64), [], [], len(docs)
-    while len(now) > 1:
-        pair = now[:-1] * fresh + now[1:]
-        kinds, kind, count = np.unique(pair, return_inverse=True, return_counts=True)
-        weight = np.concatenate([[-1], count[kind] * (len(kinds) + 1) + kind, [-1]])
-        hit = (weight[1:-1] > weight[:-2]) & (weight[1:-1] >= weight[2:])  # of equal neighbours the first
-        hit &= np.append(True, ~hit[:-1])
+    at = np.arange(max(0, len(now) - 1))  # where the pairs begin that may be repeated
+    while len(at):
+        pair = now[at] * fresh + now[at + 1]
+        order = np.argsort(pair)
+        ranked = pair[order]
+        heads = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        count = np.diff(np.append(heads, len(at)))
+        kinds, kind = ranked[heads], np.empty(len(at), np.int64)
+        kind[order] = np.repeat(np.arange(len(heads)), count)
+        weight = np.full(len(now) + 1, -1)
+        weight[at + 1] = (count * (len(kinds) + 1) + np.arange(len(kinds)))[kind]
+        hit = (count[kind] > 1) & (weight[at + 1] > weight[at]) & (weight[at + 1] >= weight[at + 2])  # of equal neighbours the first
         often = np.bincount(kind[hit], minlength=len(kinds)) > 1
         hit &= often[kind]
         if not hit.any():
             break
         name = np.cumsum(often) - 1 + fresh
         left.append(kinds[often] // fresh), right.append(kinds[often] % fresh)
-        out = now.copy()
-        out[:-1][hit] = name[kind[hit]]
-        now = out[np.append(True, ~hit)]
+        keep, open_ = np.ones(len(now), bool), np.zeros(len(now), bool)
+        open_[at[count[kind] > 1]] = True
+        put = at[hit]
+        now[put], keep[put + 1], open_[put] = name[kind[hit]], False, True
+        now, open_ = now[keep], open_[keep]
+        open_[:-1] |= now[1:] >= fresh
+        at = np.flatnonzero(open_[:-1])
         fresh += int(often.sum())
     none = [np.zeros(0, np.int64)]
     return docs, np.concatenate(left or none), np.concatenate(right or none), now

@@ -118,17 +118,30 @@ def run_starts(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nda
     """Where the merged runs begin, and the least value of each.
 
     Greedy from the first row: a run is either the longest stretch of one value, or, if that is a single row, the longest
-    stretch of one document.
+    stretch of one document. So runs begin where values change, but for those that a stretch of a document, begun by a single
+    value, goes over; only these are walked.
     """
     n = len(values)
     if not n:
         return np.zeros(0, np.int64), values
-    ends = lambda x: np.append(np.flatnonzero(x[1:] != x[:-1]) + 1, n)[np.cumsum(np.append(False, x[1:] != x[:-1]))]
-    by_value, by_doc, begins, i = ends(values).tolist(), ends(docs).tolist(), [], 0
-    while i < n:
-        begins.append(i)
-        i = by_value[i] if by_value[i] > i + 1 else by_doc[i]
-    begins = np.array(begins)
+    new_value, new_doc = np.append(values[1:] != values[:-1], True), np.append(docs[1:] != docs[:-1], True)  # behind each row
+    begins = np.append(True, new_value[:-1])
+    ends = np.flatnonzero(new_doc) + 1
+    at = np.flatnonzero(begins & new_value & ~new_doc)
+    done = 0
+    for i, end in zip(at.tolist(), ends[np.searchsorted(ends, at, "right")].tolist(), strict=True):
+        if i < done:
+            continue
+        while True:
+            begins[i + 1 : end] = False
+            done = end
+            if end == n:
+                break
+            begins[end] = True
+            if not new_value[end] or new_doc[end]:
+                break
+            i, end = end, int(ends[np.searchsorted(ends, end, "right")])
+    begins = np.flatnonzero(begins)
     return begins, np.minimum.reduceat(values, begins)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators.blocks import ARITY, BLOCK_SIZE, NODES, STORING_FACTOR, node_lists, sampled_nodes
 from ..operators.compressed import GRAMMARS, STRETCH, grammars
+from ..operators.shards import SHARD
 from ..operators.suffixes import KEY_LENGTH, suffix_array, with_merged_runs, with_neighbours
 from ..sources.artifacts import load, save
 from ..storage import release, stored
@@ -42,6 +43,26 @@ class DocIndex:
         return cls(load(spark, folder, "docs", schemas.DOCUMENTS), load(spark, folder, "rows", schemas.INDEX), load(spark, folder, "sampled", "level int, node long"), load(spark, folder, "nodes", NODES), load(spark, folder, "grammars", GRAMMARS), *parameters)
 
 
+@dataclass(frozen=True)
+class Shards:
+    """docs(doc_id, text), indexed in shards of about so many characters, each when a query reads it; nothing is stored."""
+
+    docs: DataFrame
+    key_length: int = KEY_LENGTH
+    block_size: int = BLOCK_SIZE
+    storing_factor: int = STORING_FACTOR
+    stretch: int = STRETCH
+    characters: int = SHARD
+
+    def dealt(self) -> DataFrame:
+        """The documents as they are read, or dealt to all tasks if they come in fewer partitions."""
+        context, docs = self.docs.sparkSession.sparkContext, self.docs.select("doc_id", "text")
+        if docs.rdd.getNumPartitions() >= context.defaultParallelism:
+            return docs
+        tasks = max(context.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return docs.repartition(tasks, F.xxhash64("doc_id", F.length("text")))
+
+
 def index_of(docs: DataFrame, rows: DataFrame, key_length: int, block_size: int = BLOCK_SIZE, storing_factor: int = STORING_FACTOR, stretch: int = STRETCH) -> DocIndex:
     """The index over rows (schemas.INDEX) that are there already."""
     sampled = sampled_nodes(rows, rows.count(), block_size, ARITY, storing_factor)

@@ -12,6 +12,7 @@ from functools import reduce
 from operator import or_
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from ..functions.text import occurrences
 from ..operators.blocks import covered
 from ..operators.compressed import first_last_rows
+from ..operators.shards import Shard, lots
 from ..storage import stored
-from .index import DocIndex
+from .index import DocIndex, Shards
 
 #: Most pattern characters that are sent to every task of a scan; with more, patterns are scanned in lots of that size.
 SCAN_CHARACTERS = 1 << 20
@@ -37,16 +39,21 @@ def checked(patterns: DataFrame) -> DataFrame:
     return patterns
 
 
+def _in_lots(patterns: DataFrame) -> tuple[int, list[DataFrame]]:
+    """Their number, after a look at them, and the patterns in lots that may go to every task."""
+    size, number = checked(patterns).agg(F.sum(F.length("pattern")), F.count("*")).first()
+    n = max(1, -(-(size or 0) // SCAN_CHARACTERS))
+    return number, [patterns if n == 1 else patterns.where(F.pmod(F.xxhash64("pattern_id", "pattern"), F.lit(n)) == lot) for lot in range(n)]
+
+
 def scan(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """Each text is searched for each pattern; no index. The patterns' size is checked before they go to all tasks.
 
     A few patterns are searched one by one, in the JVM; more of them in one pass over each text by an automaton.
     """
-    size, number = checked(patterns).agg(F.sum(F.length("pattern")), F.count("*")).first()
-    lots = -(-(size or 0) // SCAN_CHARACTERS)
+    number, parts = _in_lots(patterns)
     found = None
-    for lot in range(max(1, lots)):
-        some = patterns if lots <= 1 else patterns.where(F.pmod(F.xxhash64("pattern_id", "pattern"), F.lit(lots)) == lot)
+    for some in parts:
         if number > ONE_BY_ONE:
             part = docs.select("doc_id", "text").mapInArrow(_all_at_once(some.select("pattern_id", "pattern").collect()), "pattern_id long, doc_id long, freq long")  # a lot of bounded size
         else:
@@ -105,8 +112,40 @@ def matches(index: DocIndex, patterns: DataFrame) -> DataFrame:
     return near.where(~long).unionByName(whole.select(*columns))
 
 
-def locate(index: DocIndex, patterns: DataFrame) -> DataFrame:
+def _over_shards(index: Shards, patterns: DataFrame, found, column: str) -> DataFrame:
+    """pattern_id, doc_id and a column of what found(shard, pattern) gives: document numbers of the shard, and values.
+
+    A task builds one shard after another, answers all patterns from it and lets it go, so nothing is stored and only
+    answers are shuffled.
+    """
+    schema = f"pattern_id long, doc_id long, {column}"
+    kinds = [pa.int64(), pa.int64(), pa.int32() if column.endswith("int") else pa.int64()]
+    characters, numbers_of = index.characters, (index.key_length, index.block_size, index.storing_factor, index.stretch)
+
+    def answers(ids: dict[str, list[int]]):
+        def run(batches):
+            for own, texts in lots(batches, characters) if ids else ():
+                shard, known = Shard(texts, *numbers_of), pa.array(own, pa.int64())
+                for pattern, numbers in ids.items():
+                    docs, value = found(shard, pattern)
+                    for number in numbers if len(docs) else ():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), number), kinds[0]), known.take(pa.array(docs)), pa.array(value).cast(kinds[2])], ["pattern_id", "doc_id", column.partition(" ")[0]])
+
+        return run
+
+    parts = []
+    for some in _in_lots(patterns)[1]:
+        ids: dict[str, list[int]] = {}
+        for number, pattern in some.select("pattern_id", "pattern").collect():  # a lot of bounded size
+            ids.setdefault(pattern, []).append(number)
+        parts.append(index.dealt().mapInArrow(answers(ids), schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def locate(index: DocIndex | Shards, patterns: DataFrame) -> DataFrame:
     """pattern_id, doc_id and pos (from 0) of every occurrence."""
+    if isinstance(index, Shards):
+        return _over_shards(index, patterns, lambda shard, pattern: shard.places(pattern), "pos int")
     return matches(index, patterns).select("pattern_id", "doc_id", "pos")
 
 
@@ -192,11 +231,14 @@ STRATEGIES = {
 }
 
 
-def search(index: DocIndex, patterns: DataFrame, strategy: str = "suffix") -> DataFrame:
+def search(index: DocIndex | Shards, patterns: DataFrame, strategy: str = "suffix") -> DataFrame:
     if strategy == "scan":
         return scan(index.docs, patterns)
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}; there are scan, {', '.join(STRATEGIES)}")
+    if isinstance(index, Shards):
+        own = _over_shards(index, patterns, lambda shard, pattern: shard.list(pattern, strategy), "freq long")
+        return own.groupBy("pattern_id", "doc_id").agg(F.sum("freq").alias("freq"))  # rows may share a doc_id
     return STRATEGIES[strategy](index, patterns)
 
 
